@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing
+from . import chat, decontaminate, langid, mixing, quality, toxicity
 
 QUERIES = {
+    "op2_langid": langid.op2_langid,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op6_quality": quality.op6_quality,
+    "op8_chat": chat.op8_chat,
     "op9_mixing": mixing.op9_mixing,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL = {
     "op4_decontaminate": decontaminate.OP4_SQL,
+    "op8_chat": chat.OP8_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
