@@ -52,10 +52,15 @@ def targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tup
     return ranked.select("source", "source_size", F.coalesce(F.least("most", level * F.col("w")), F.col("most"), F.lit(0.0)).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, share: float = 1.5, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, key, taken."""
-    w = F.lit(1.0) if weight is None else F.coalesce(F.when(weight > 0, weight.cast("double")), F.lit(1.0))
-    sized = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(SPACE_WORD)), F.lit(0)).cast("long").alias("size"), (-F.log(uniform(F.col(id_col), seed)) / w).alias("key")))
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: DataFrame | None = None, share: float = 1.5, seed: str = "mix") -> DataFrame:
+    """doc_id, source, size, source_size, target, key, taken. weights: labelled (an id, once), weight."""
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(SPACE_WORD)), F.lit(0)).cast("long")
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))  # no text beyond here
+    w = F.lit(1.0)
+    if weights is not None:
+        sized = sized.join(weights, F.col("doc_id") == F.col("labelled"), "left")
+        w = F.coalesce(F.when(F.col("weight") > 0, F.col("weight").cast("double")), w)
+    sized = materialise(sized.select("doc_id", "source", "size", (-F.log(uniform(F.col("doc_id"), seed)) / w).alias("key")))
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     goals = targets(per_source.select("source", "source_size"), share).join(per_source.select(F.col("source").alias("s2"), "n"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     goals = goals.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
@@ -73,20 +78,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return rows.select("doc_id", "source", "size", "source_size", "target", "key", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
 
 
-def quality_weight(quality: Column) -> Column:
-    """Labelled good 2, labelled bad 0.5, not labelled 1."""
-    return F.when(quality == 1, 2.0).when(quality == 0, 0.5).otherwise(1.0)
-
-
-def weighted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with a quality weight; a document that is labelled more than once has its best label."""
-    best = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("labelled")).agg(F.max("quality").alias("best_quality"))
-    return docs.select("doc_id", "text", "source").join(best, F.col("doc_id") == F.col("labelled"), "left")
+def quality_weights(labels: DataFrame) -> DataFrame:
+    """labelled, weight: 2 for good, 0.5 for bad, 1 for a null label; rows without a label weigh 1. A
+    document that is labelled more than once has its best label."""
+    best = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("labelled")).agg(F.max("quality").alias("q"))
+    return best.select("labelled", F.when(F.col("q") == 1, 2.0).when(F.col("q") == 0, 0.5).otherwise(1.0).alias("weight"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = weighted(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return mix(docs, weight=quality_weight(F.col("best_quality"))).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mix(read(spark, sf_dir, "documents"), weights=quality_weights(read(spark, sf_dir, "labels")))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP9_SQL = r"""
