@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, mixing, quality, toxicity
+from . import chat, decontaminate, html_extract, langid, mixing, quality, toxicity
 
 QUERIES = {
     "op2_langid": langid.op2_langid,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_quality": quality.op6_quality,
+    "op7_html": html_extract.op7_html,
     "op8_chat": chat.op8_chat,
     "op9_mixing": mixing.op9_mixing,
     "op10_toxicity": toxicity.op10_toxicity,
