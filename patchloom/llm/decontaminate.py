@@ -1,9 +1,9 @@
 """Benchmark decontamination; DataFrame functions only.
 
 Windows of ten consecutive benchmark words are keyed by one anchor word each, the longest word
-of the window. Document words are exploded once and probe the set of anchors; only where an
-anchor stands is the whole window compared, on words with A-Z lower-cased. Hits are start
-positions; a document's hit words are the union of its hit windows.
+of the window. Document words probe the broadcast set of anchors as they leave the scan; only
+where an anchor stands is the whole window compared, on words with A-Z lower-cased. Hits are
+start positions; a document's hit words are the union of its hit windows.
 
 The set of windows is broadcast only while it is small: its size is counted first, and beyond
 MAX_BROADCAST_WINDOWS the same join runs as a shuffle join that Spark splits where it is skewed.
@@ -46,20 +46,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, id_col: str = "
     """k1, k2 (the row's key), item_id, start (0-based word), length of each occurrence of a window."""
     found = materialise(windows(benchmark, n))
     small = found.count() <= MAX_BROADCAST_WINDOWS
-    # Anchors in lower() form, so that document words can be probed before their exact lower-casing.
-    found = found.withColumn("probe", F.lower("anchor"))
-    words = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("raw"), words_of(F.lower(text_col)).alias("lw"))
-    if small:
-        met = words.select("*", F.posexplode("lw").alias("pos", "probe")).join(F.broadcast(found), "probe")
-    else:  # texts stay out of the shuffle by anchor
-        at = words.select("k1", "k2", F.posexplode("lw").alias("pos", "probe")).join(found, "probe")
-        met = at.join(words.dropDuplicates(["k1", "k2"]), ["k1", "k2"])
-    start, n_w = F.col("pos") - F.col("off") + 1, F.size("w")
-    cut = lambda ws: F.slice(ws, F.greatest(F.lit(0), start) + 1, n_w)
-    met = met.where(start >= 0).where(cut(F.col("lw")) == F.transform("w", F.lower))
-    # Where all is ASCII, lower() is the exact lower-casing.
-    met = met.where(~F.col("raw").rlike(r"[^\x00-\x7F]") | (cut(words_of(ascii_lower(F.col("raw")))) == F.col("w")))
-    return met.select("k1", "k2", "item_id", start.cast("long").alias("start"), n_w.cast("long").alias("length")).distinct()
+    # Words before their exact lower-casing probe for anchors; only ids and places leave the scan.
+    words = docs.select(*row_key(id_col, text_col), F.posexplode(words_of(F.lower(text_col))).alias("pos", "probe"))
+    anchors = found.select(F.lower("anchor").alias("probe"), "off", "item_id", "w")
+    met = words.join(F.broadcast(anchors) if small else anchors, "probe")
+    start = F.col("pos") - F.col("off") + 1
+    maybe = met.where(start >= 0).groupBy("k1", "k2").agg(F.collect_set(F.struct(start.alias("start"), "item_id", "w")).alias("maybe"))
+    # Whole windows are compared inside the document's row, once it has met its candidates.
+    texts = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("raw")).join(maybe, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    texts = texts.withColumn("ws", words_of(ascii_lower(F.col("raw"))))
+    same = F.filter("maybe", lambda c: F.slice(F.col("ws"), c["start"] + 1, F.size(c["w"])) == c["w"])
+    hit = texts.select("k1", "k2", F.explode(F.transform(same, lambda c: F.struct(c["item_id"].alias("item_id"), c["start"].cast("long").alias("start"), F.size(c["w"]).cast("long").alias("length")))).alias("h"))
+    return hit.select("k1", "k2", "h.*")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
