@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, html_extract, langid, mixing, quality, toxicity
+from . import chat, decontaminate, html_extract, langid, mixing, ngram_jaccard, quality, toxicity
 
 QUERIES = {
     "op2_langid": langid.op2_langid,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_ngram_jaccard": ngram_jaccard.op5_ngram_jaccard,
     "op6_quality": quality.op6_quality,
     "op7_html": html_extract.op7_html,
     "op8_chat": chat.op8_chat,
