@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, html_extract, langid, mixing, ngram_jaccard, quality, toxicity
+from . import chat, decontaminate, html_extract, langid, mixing, ngram_jaccard, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op2_langid": langid.op2_langid,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_ngram_jaccard": ngram_jaccard.op5_ngram_jaccard,
     "op6_quality": quality.op6_quality,
