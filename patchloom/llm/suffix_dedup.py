@@ -260,7 +260,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
 
 def merge(spans: list | None) -> list[tuple[int, int]]:
     out: list[list[int]] = []
-    for s in spans or []:
+    for s in [] if spans is None else spans:
         if out and s["start"] <= out[-1][1]:
             out[-1][1] = max(out[-1][1], s["stop"])
         else:
@@ -302,13 +302,12 @@ def cut(docs: DataFrame, found: DataFrame) -> DataFrame:
     def shorter(texts, spans):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        return pd.Series([keep_bytes((t or "").encode("utf-8", "surrogatepass"), merge(list(s))).decode("utf-8", "ignore") for t, s in zip(texts, spans, strict=True)])
+        return pd.Series([keep_bytes((t or "").encode("utf-8", "surrogatepass"), merge(s)).decode("utf-8", "ignore") if s is not None else t for t, s in zip(texts, spans, strict=True)])
 
     cols = docs.columns
     k1, k2 = row_key("doc_id", "text")
     rows = docs.select("*", k1, k2).join(found, ["k1", "k2"], "left")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(shorter("text", "spans"))
-    rows = rows.withColumn("text", text)
+    rows = rows.withColumn("text", shorter("text", "spans"))
     if "n_chars" in cols:
         rows = rows.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return rows.select(*cols)
