@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, html_extract, langid, mixing, ngram_jaccard, quality, suffix_dedup, toxicity
+from . import chat, decontaminate, html_extract, langid, lm_score, mixing, ngram_jaccard, quality, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_lm_score": lm_score.op1_lm_score,
     "op2_langid": langid.op2_langid,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
