@@ -31,7 +31,7 @@ TERMINAL = tuple(".!?…。！？؟।:;\"'”’»)")
 #: Phrases of site furniture, lower case.
 BOILERPLATE = ("cookie", "javascript", "terms of use", "terms of service", "privacy policy", "all rights reserved", "lorem ipsum", "copyright", "subscribe", "sign up", "log in", "click here", "read more", "permission is hereby granted", "licensed under", "powered by")
 BOILER_RE = re.compile("|".join(map(re.escape, BOILERPLATE)) + r"|[{}]")
-NAV_RE = re.compile(r"\s[|»›>•·/]\s")
+NAV_RE = re.compile(r"[\t-\r ][|»›>•·/][\t-\r ]")
 MIN_WORDS, MAX_REPEAT_SHARE, MAX_LOST_SHARE = 50, 0.5, 0.5
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_lines long, n_lines_removed long, n_words_left long, kept boolean"
 
@@ -131,3 +131,35 @@ def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules(read(spark, sf_dir, "documents"))
+
+
+_PHRASES = "|".join(BOILERPLATE)
+_ENDS = " OR ".join("ends_with(s, '{}')".format(c.replace("'", "''")) for c in TERMINAL)
+_MARKS = " + ".join(f"(length({{0}}) - length(replace({{0}}, '{c}', '')))" for c in SYMBOLS)
+OP6_SQL = (
+    r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rk, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+g AS (SELECT rk, ws[i : i + 2] AS k, i FROM (SELECT rk, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
+h AS (SELECT rk, i FROM g QUALIFY count(*) OVER (PARTITION BY rk, k) > 1),
+r AS (SELECT rk, count(DISTINCT p) AS n FROM (SELECT rk, unnest([i, i + 1, i + 2]) AS p FROM h) GROUP BY rk),
+l0 AS (SELECT rk, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
+l1 AS (SELECT rk, line, i, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS s, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS own FROM l0),
+l2 AS (SELECT *, row_number() OVER (PARTITION BY rk, line ORDER BY i) > 1 AS dup FROM l1 WHERE own > 0),
+l3 AS (SELECT *, dup OR NOT ("""
+    + _ENDS
+    + r""") OR len(regexp_extract_all(s, '[\t-\r ][|»›>•·/][\t-\r ]')) * 12 > length(s) OR ("""
+    + _MARKS.replace("{0}", "s")
+    + r""") * 20 > length(s)
+  OR (length(s) >= 8 AND upper(s) = s AND lower(s) <> s) OR regexp_matches(lower(s), '"""
+    + _PHRASES
+    + r"""|[{}]') AS bad FROM l2),
+l AS (SELECT rk, count(*) AS n_lines, count(*) FILTER (dup) AS dups, count(*) FILTER (bad) AS gone, coalesce(sum(own) FILTER (NOT bad), 0) AS words_left FROM l3 GROUP BY rk),
+b AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, ("""
+    + _MARKS.replace("{0}", "t")
+    + r""")::BIGINT AS n_symbols,
+  coalesce(dups, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(gone, 0)::BIGINT AS n_lines_removed, coalesce(words_left, 0)::BIGINT AS n_words_left
+  FROM w LEFT JOIN r USING (rk) LEFT JOIN l USING (rk))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * n_words_left >= n_words AS kept FROM b
+"""
+)

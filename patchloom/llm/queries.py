@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op4_decontaminate": decontaminate.OP4_SQL,
+    "op6_quality": quality.OP6_SQL,
     "op8_chat": chat.OP8_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
