@@ -27,8 +27,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes inside strings of 400 bytes that also start elsewhere leave the text."""
-    return suffix_dedup.cut(docs, suffix_dedup.find(docs))
+    """Bytes inside strings of 400 bytes, and words inside strings of 51 words, that also start elsewhere
+    leave the text."""
+    return suffix_dedup.cut(docs, suffix_dedup.either(suffix_dedup.find(docs), suffix_dedup.find_words(docs)))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,9 @@ Whether a suffix is repeated for WINDOW bytes is what a suffix array sorted to t
    final and leaves; after the last step the suffixes that still share a bucket are repeated.
 4. Spans come back to their documents, which are cut.
 
+find_words() does the same with windows of WORDS words: each word becomes a code of CODE characters,
+and windows that do not start with a word are left out of what is found.
+
 Which hashes occur more than once reaches step 2 as a Bloom filter of checked size (16 bits for
 each, FILTER_BITS at most); what it lets through by mistake is alone in its group and drops out
 there. Bucket identifiers of the first step are 64-bit hashes of q bytes.
@@ -26,7 +29,9 @@ length are read whole; other columns are not read.
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +42,11 @@ from pyspark.sql import functions as F
 from .common import materialise, read, row_key
 
 WINDOW = 400
+WORDS = 51
 GRAM = 64
+CODE = 8  # characters of a word's code, of 48 bits
+MAX_CODES = 500_000
+WORD_RE = re.compile(rb"\S+")
 CHUNK = 2 << 20
 FILTER_BITS = 1 << 29
 ROW_SCHEMA = "h long, body binary, occ array<struct<k1:long,k2:long,at:long>>"
@@ -247,7 +256,11 @@ def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """k1, k2, spans: what to remove from each document that loses anything."""
-    texts = docs.select(*row_key(id_col, text_col), F.col(text_col))
+    return find_in(docs.select(*row_key(id_col, text_col), F.col(text_col)), window, gram)
+
+
+def find_in(texts: DataFrame, window: int, gram: int) -> DataFrame:
+    """find() on k1, k2, text."""
     twice = materialise(repeated_grams(texts, window, gram))
     bits = 1 << 16
     n = twice.count()
@@ -258,6 +271,61 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     return materialise(spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans")))
 
 
+class WordCodes(dict):
+    """CODE characters for each word, the same in every task."""
+
+    def __missing__(self, word: bytes) -> str:
+        if len(self) >= MAX_CODES:
+            self.clear()
+        code = self[word] = base64.b64encode(hashlib.blake2b(word, digest_size=CODE * 3 // 4).digest()).decode()
+        return code
+
+
+def coded(texts: DataFrame) -> DataFrame:
+    """k1, k2, and the text with each word as its code and nothing between them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = WordCodes()
+        for b in batches:
+            own = ["".join(map(codes.__getitem__, (t.as_py() or "").encode("utf-8", "surrogatepass").split())) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.string())], ["k1", "k2", "text"])
+
+    return texts.mapInArrow(run, "k1 long, k2 long, text string")
+
+
+def find_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, gram: int = GRAM) -> DataFrame:
+    """find() with a window of that many words, whatever their bytes and the white space between them.
+    Spans are bytes of the text, from the first word of a window to the end of its last."""
+    texts = docs.select(*row_key(id_col, text_col), F.col(text_col))
+    window = words * CODE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text, spans in zip(b.column(2), b.column(3), strict=True):
+                at = [m.span() for m in WORD_RE.finditer((text.as_py() or "").encode("utf-8", "surrogatepass"))]
+                own = []  # in order, as the spans are
+                for s in spans.as_py():  # every window that starts in it is repeated; those that start with a word count
+                    first, last = -(-s["start"] // CODE), (s["stop"] - window) // CODE
+                    if first <= last:
+                        own.append({"start": at[first][0], "stop": at[last + words - 1][1]})
+                out.append([{"start": a, "stop": z} for a, z in merge(own)])
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, kind)], ["k1", "k2", "spans"])
+
+    found = find_in(coded(texts), window, gram)
+    hit = texts.dropDuplicates(["k1", "k2"]).join(found, ["k1", "k2"]).select("k1", "k2", text_col, "spans")
+    return hit.mapInArrow(run, "k1 long, k2 long, spans array<struct<start:long,stop:long>>").where("size(spans) > 0")
+
+
+def either(*found: DataFrame) -> DataFrame:
+    """What any of the finds removes."""
+    rows = found[0]
+    for f in found[1:]:
+        rows = rows.unionByName(f)
+    return materialise(rows.groupBy("k1", "k2").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")))
+
+
 def merge(spans: list | None) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for s in [] if spans is None else spans:

@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 
+import corpus_pipeline
 from patchloom.llm import suffix_dedup as S
 
 from .util import frame
@@ -71,3 +72,39 @@ def test_cut(spark):
     docs = spark.createDataFrame([(1, f"a{passage}b", "x", 212), (2, f"{passage}c", "x", 211), (3, None, "x", None)], "doc_id long, text string, source string, n_chars long")
     out = {r["doc_id"]: r for r in S.cut(docs, S.find(docs)).collect()}
     assert (out[1]["text"], out[1]["n_chars"]) == ("ab", 2) and out[2]["text"] == "c" and out[3]["text"] is None
+
+
+def brute_words(texts, n):
+    split = [(t or "").encode().split() for t in texts]
+    seen = Counter(tuple(w[i : i + n]) for w in split for i in range(len(w) - n + 1))
+    out = []
+    for w in split:
+        cover = [False] * len(w)
+        for i in range(len(w) - n + 1):
+            if seen[tuple(w[i : i + n])] > 1:
+                cover[i : i + n] = [True] * n
+        out.append([x for x, y in zip(w, cover, strict=True) if not y])
+    return out
+
+
+@pytest.mark.parametrize(("seed", "words", "gram"), [(1, 9, 16), (5, 12, 64)])
+def test_word_windows_brute_force(spark, seed, words, gram):
+    texts = corpus(seed) + ["x " * 40, "word \n\tword  " * 20]
+    docs = frame(spark, list(enumerate(texts)), "doc_id long, text string")
+    found = S.either(S.find_words(docs, words=words, gram=gram))
+    got = {r["doc_id"]: (r["text"] or "").encode().split() for r in S.cut(docs, found).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_words(texts, words)
+
+
+def test_pipeline_cuts_51_short_words(spark):
+    """A passage of 51 words, far below 400 bytes, in otherwise different documents; one of 50 words stays."""
+    r = random.Random(8)
+    text = lambda n: " ".join("".join(r.choice("abcdef") for _ in range(r.randint(2, 5))) for _ in range(n))
+    over, under, long = text(51), text(50), "z" * 450
+    assert len(over) < 400
+    rows = [f"{text(30)} {over} {text(30)}" for _ in range(3)] + [f"{text(30)} {under} {text(30)}" for _ in range(3)] + [f"{text(30)} {long} {text(3)}" for _ in range(2)]
+    docs = spark.createDataFrame([(i, t, "x", len(t)) for i, t in enumerate(rows)], "doc_id long, text string, source string, n_chars long")
+    out = {x["doc_id"]: x["text"] for x in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
+    assert not any(over in out[i] for i in range(3)) and all(len(out[i].split()) == 60 for i in range(3))
+    assert [out[i] for i in range(3, 6)] == rows[3:6]
+    assert not any(long in out[i] for i in (6, 7))
