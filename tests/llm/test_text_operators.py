@@ -76,6 +76,17 @@ def test_decisions_of_documents_are_apart():
 # --- language identification ---
 
 
+def test_two_classes_are_a_context_of_their_own():
+    """Words after the same two classes share a slot whatever the third; after other second classes they do not."""
+    code = lm_score.Code(np.ones(lm_score.CLASSES))
+    one, same, other = ([np.array(x, np.uint8)] for x in ([1, 2, 3, 9], [7, 2, 3, 9], [1, 8, 3, 9]))
+    at = -code.depth[9]
+    slots = [lm_score.class_decisions(code, x)[0] for x in (one, same, other)]
+    assert len(slots[0]) == 5
+    shared = [(np.array_equal(a[at:], b[at:]), np.array_equal(a[at:], c[at:])) for a, b, c in zip(*slots, strict=True)]
+    assert shared.count((True, False)) == 1
+
+
 def test_langid_held_out(spark):
     truth = {r["doc_id"]: r["lang"] for r in read(spark, SF, "documents").collect()}
     got = [r for r in langid.op2_langid(spark, SF).collect() if r["held_out"]]
