@@ -13,7 +13,8 @@ Blocks are joined in page order by line breaks. Inside a block character referen
 runs of white space (Unicode) become one space, and both ends are trimmed; empty blocks vanish.
 
 Defined cases: null or empty html, or html without content, gives the empty text; tags left open,
-stray end tags, unquoted attributes and cut pages are read on; bare text counts as a block; null
+stray end tags, unquoted attributes and cut pages are read on, and an embedded element (svg, button,
+iframe, ...) that is empty or has no end tag drops nothing; bare text counts as a block; null
 url stays null; repeated rows have equal results; an empty table gives no rows; no block or page
 is dropped or cut for its length.
 """
@@ -38,14 +39,18 @@ TRAIN_PAGES = 400
 ADJACENT, SIBLING = 0.6, 0.4
 # Element names of HTML by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea svg math title select button object canvas".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var br img wbr".split())
+RAW = frozenset("script style noscript template iframe textarea svg title select button object canvas".split())
+# Of these, the text up to the next end tag is no markup; in the others elements can stand in each other.
+PLAIN = frozenset("script style textarea title".split())
+MATH = frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mlabeledtr mtd maction semantics annotation annotation-xml".split())
+INLINE = MATH | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var br img wbr".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BAD_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 BAD_NAMES = frozenset("nav navbar navigation navigationbar menu menubar header masthead topbar banner footer sidebar side aside rail ad ads advert advertisement adverts sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login search form share sharing social related recommended breadcrumb breadcrumbs widget toolbar pagination pager tags legal copyright contentinfo complementary skip".split())
 GOOD_NAMES = frozenset("article content post entry main body story text articlebody maincontent".split())
 TALK_NAMES = frozenset("comment comments reply replies respond discussion disqus responses feedback commentlist".split())
 TAG_RE = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
+EMPTY_RE = re.compile(r"(?:\A|[\s\"']|(?:\A|\s)[^\s=\"']+)/\Z")  # a slash that is not in an unquoted value
 NAME_RE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPLIT_RE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 TERMINAL = tuple(".!?…。！？:;\"”’»)")
@@ -67,6 +72,30 @@ def names_of(attrs: str) -> frozenset[str]:
     return frozenset(found)
 
 
+def ends_of(page: str) -> dict[int, int]:
+    """For each RAW element that can hold others and has an end tag: where its tags end. An end tag
+    belongs to the last open tag of its name."""
+    out: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    pos = 0
+    while m := TAG_RE.search(page, pos):
+        pos, tag = m.end(), (m[2] or "").lower()
+        if tag not in RAW:
+            continue
+        own = opened.setdefault(tag, [])
+        if m[1]:
+            if own:
+                out[own.pop()] = pos
+        elif EMPTY_RE.search(m[3]):
+            continue
+        elif tag not in PLAIN:
+            own.append(pos)
+        else:
+            close = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
+            pos = close.end() if close else len(page)
+    return out
+
+
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order."""
     out: list[Block] = []
@@ -75,6 +104,7 @@ def blocks_of(page: str) -> list[Block]:
     linked: list[str] = []
     links = serial = 0
     pos, end = 0, len(page)
+    ends: dict[int, int] | None = None
 
     def cut() -> None:
         text = " ".join(entities.unescape("".join(run)).split()) if run else ""
@@ -106,10 +136,15 @@ def blocks_of(page: str) -> list[Block]:
             if any(x[0] == tag for x in stack):
                 while stack.pop()[0] != tag:
                     pass
+        elif tag in RAW and EMPTY_RE.search(m[3]):
+            continue
+        elif tag in RAW and tag not in PLAIN:
+            ends = ends_of(page) if ends is None else ends
+            pos = ends.get(pos, pos)
         elif tag in RAW:
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
             pos = close.end() if close else end
-        elif tag not in VOID:
+        elif tag not in VOID and not (tag in MATH and EMPTY_RE.search(m[3])):
             shut = CLOSES.get(tag)
             if shut:
                 while stack and (stack[-1][0] in shut or stack[-1][0] in INLINE and any(x[0] in shut for x in stack[-4:])):
@@ -125,7 +160,7 @@ def features(b: Block) -> list[float]:
     names = frozenset().union(*(x[1] for x in b.path)) if b.path else frozenset()
     inside = "article" in tags or "main" in tags
     words = b.text.count(" ") + 1
-    low = b.text[:200].lower()
+    low = b.text.lower()
     return [
         math.log1p(words), b.linked / len(b.text), float(b.text.endswith(TERMINAL)), float(any(t in BAD_TAGS for t in tags) or ("header" in tags and not inside)),
         float(bool(names & BAD_NAMES)), float(inside), float(bool(names & GOOD_NAMES)), float(b.tag in ("h1", "h2", "h3", "h4", "h5", "h6")),

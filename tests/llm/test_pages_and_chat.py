@@ -24,6 +24,35 @@ def test_other_generated_pages(weights):
     assert good >= 0.98 * total
 
 
+ARTICLE = "<article><h1>Head line of it</h1><p>First paragraph of the article, with quite some words in it.</p><p>Second paragraph of the article, which ends here.</p></article>"
+OPEN = ["<svg/>", '<svg width="1" />', "<button>", "<iframe src=x>", "<noscript>", '<script src="x"/>', "<svg><svg></svg>", "<!-- </svg> --><svg>", "<button><i></i>"]
+
+
+@pytest.mark.parametrize("tag", OPEN)
+def test_embedded_elements_without_end_drop_nothing(weights, tag):
+    """The next end tag of the name belongs to the element after the article."""
+    want = "Head line of it\nFirst paragraph of the article, with quite some words in it.\nSecond paragraph of the article, which ends here."
+    name = tag.split("<")[1].split()[0].strip("/>") if "!--" not in tag else "svg"
+    for after in ("", f"<{name}>inside</{name}>"):
+        assert html_extract.extract(f"<html><body>{tag}{ARTICLE}{after}</body></html>", weights) == want
+
+
+def test_embedded_elements_with_end_go_whole():
+    page = "<p>a<svg><text>b<svg>c</svg>d</text></svg>e</p><iframe src=http://x/>f</iframe><script>'<svg>'</script><p>g</p><select><option>h</select>"
+    assert [b.text for b in html_extract.blocks_of(page)] == ["a", "e", "g"]
+
+
+def test_math_is_text_of_its_paragraph():
+    page = "<p>so <math><mi>x</mi><mspace/><mo>=</mo><mn>2</mn></math> holds</p><p>next</p>"
+    assert [b.text for b in html_extract.blocks_of(page)] == ["so x=2 holds", "next"]
+
+
+def test_copyright_words_count_anywhere_in_a_block():
+    long = "word " * 100
+    said, plain = (html_extract.blocks_of(f"<p>{long}{x}</p>")[0] for x in ("All rights reserved", "nothing of it is"))
+    assert [a != b for a, b in zip(html_extract.features(said), html_extract.features(plain), strict=True)][11]
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><p>Site name</p></header><nav><ul><li><a href=x>Home</a><li><a href=y>About</a></ul></nav>
 <div class="cookie-banner"><p>We use cookies to make this site better for all of you.</p></div>
 <article><h1>A &amp; B &lt;c&gt;</h1><p>First <b>bold</b>\n\n  text &eacute;&#233;&#x41;, with\twhite space and some more words in it.<p>Second <a href="z">linked</a> paragraph, which goes on for a while.
