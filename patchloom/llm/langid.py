@@ -8,8 +8,9 @@ for any byte (n: the context's count, q: its distinct bytes, c: the byte's count
 gathered over all training documents and then frozen, so the code length of a byte depends on
 its context alone. The language with the shortest code for the whole text wins.
 
-Counts are summed map-side before they are shuffled; trees reach every task as tables whose size
-is checked: while they hold more than MAX_NODES leaves, the trees are one byte shallower.
+Counts are summed map-side before they are shuffled; trees reach every task as tables. Their order
+is the same at every size of the corpus, and they grow with its distinct strings of ORDER + 1 bytes;
+only a caller that sets max_nodes has them made shallower until no more leaves than that are left.
 
 Defined cases: null text, and text without a letter, is `und` with score 0; rows with null lang
 teach nothing; ties go to the first language by code point; with nothing to learn from all is
@@ -28,7 +29,6 @@ from pyspark.sql import functions as F
 from .common import held_out, read
 
 ORDER = 3
-MAX_NODES = 3_000_000
 CHUNK = 1 << 20
 PAD = b"   "  # a text begins after white space
 
@@ -174,12 +174,12 @@ class Trees:
         return out
 
 
-def learn(docs: DataFrame, taught: Column, text_col: str = "text", lang_col: str = "lang", order: int = ORDER, max_nodes: int = MAX_NODES) -> Trees | None:
+def learn(docs: DataFrame, taught: Column, text_col: str = "text", lang_col: str = "lang", order: int = ORDER, max_nodes: int | None = None) -> Trees | None:
     """Trees of the languages of the rows in `taught`."""
     rows = docs.where(taught & F.col(lang_col).isNotNull()).select(F.col(lang_col), F.col(text_col))
     counts = counted(rows).cache()
     leaf = counts.select("lang", "code")
-    while order and leaf.select("lang", F.expr(f"code & {(1 << (8 * (order + 1))) - 1}L")).distinct().count() > max_nodes:
+    while max_nodes is not None and order and leaf.select("lang", F.expr(f"code & {(1 << (8 * (order + 1))) - 1}L")).distinct().count() > max_nodes:
         order -= 1
     mask = (1 << (8 * (order + 1))) - 1
     got = counts.groupBy("lang", F.expr(f"code & {mask}L").alias("code")).agg(F.sum("n").alias("n")).toArrow()

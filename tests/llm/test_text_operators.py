@@ -112,6 +112,16 @@ def brute_ppm(counts, text, order):
     return bits
 
 
+def test_trees_keep_their_order_at_any_size(spark):
+    """More than 3,000,000 distinct strings of four bytes, which made trees one byte shallower."""
+    r = np.random.default_rng(3)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789!#$%&()*+,-./:;<=>?[]^_{|}~", np.uint8)
+    rows = [(i, letters[r.integers(0, len(letters), 500_000)].tobytes().decode(), "xx") for i in range(8)]
+    docs = frame(spark, rows, "doc_id long, text string, lang string")
+    trees = langid.learn(docs, docs.doc_id >= 0)
+    assert trees.order == langid.ORDER and len(trees.keys) > 3_000_000
+
+
 @pytest.mark.parametrize("order", [3, 2, 0])
 def test_code_lengths_equal_brute_force(spark, order):
     r = random.Random(3)
