@@ -7,7 +7,6 @@ again as the next stage's docs. All but the last return the columns of documents
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from patchloom.llm import decontaminate, mixing, ngram_jaccard, suffix_dedup, toxicity
 from patchloom.llm.common import materialise, read
@@ -21,9 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that five-word shingles link at a similarity of 0.75 or more, the one
-    with the smallest id stays."""
-    placed = ngram_jaccard.join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(placed, F.col("doc_id") == F.col("gone"), "left_anti")
+    with the smallest id stays; of repeated rows one."""
+    return ngram_jaccard.drop_copies(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

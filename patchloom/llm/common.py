@@ -18,10 +18,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one is set only where it is unset."""
+    """The folder in spark.checkpoint.dir. Where it is unset, one machine gets a temporary folder and a
+    cluster an error, as executors do not see each other's folders."""
     ctx = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or ctx.getCheckpointDir()
     if not folder:
+        if not ctx.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="patchloom-")
         ctx.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -34,7 +37,20 @@ def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     path = f"{shared_dir(spark)}/patchloom-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of materialise() that nothing reads any more, and lets Spark drop the shuffles
+    behind them."""
+    for t in tables:
+        ctx = t.sparkSession.sparkContext
+        path = ctx._jvm.org.apache.hadoop.fs.Path(t._written)
+        path.getFileSystem(ctx._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        ctx._jvm.System.gc()
 
 
 def row_key(id_col: str, text_col: str) -> list[Column]:
