@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from patchloom.llm import decontaminate as D
 
@@ -15,8 +16,9 @@ WORDS = "one two three four five six seven eight nine ten eleven twelve"
 ROWS = [
     (1, f"x {WORDS} y", 1, ""), (2, WORDS.upper(), 1, ""), (3, WORDS.replace(" ", "--!"), 1, ""), (4, None, 1, ""), (5, "", 1, ""), (6, "one two three", 1, ""), (None, WORDS, 1, ""),
     (7, "ÉTÉ été KelvinK short item", 1, ""), (8, "ÉTÉ", 1, ""), (9, "été", 1, ""), (1, f"x {WORDS} y", 1, ""), (10, "a a a a a a a a a a a a a", 1, ""), (11, "z " * 4000 + WORDS, 1, ""),
+    (12, "ΟΔΟΣ.ΑΒΓ", 1, ""), (13, "xΟΔΟΣ ΟΔΟΣ", 1, ""), (14, "İ I i ǅ straße STRASSE ﬁ", 1, ""), (15, "a\0b\x7fc three-four", 1, ""), (16, "one two three one two three", 1, ""),
 ]
-BENCH = [(1, WORDS, ""), (2, "été", ""), (3, None, ""), (4, "!!", ""), (5, "a a a a a a a a a a", ""), (10, "one TWO three", ""), (2, "été", "")]
+BENCH = [(1, WORDS, ""), (2, "été", ""), (3, None, ""), (4, "!!", ""), (5, "a a a a a a a a a a", ""), (10, "one TWO three", ""), (2, "été", ""), (20, "ΟΔΟΣ", ""), (21, "İ i", ""), (22, "ı", ""), (23, "straße", ""), (24, "two three one", ""), (25, "b c", "")]
 
 
 def words(t):
@@ -43,6 +45,7 @@ def test_query_equals_sql(spark):
 @pytest.mark.parametrize("limit", [D.MAX_BROADCAST_WINDOWS, 0])
 def test_brute_force(spark, monkeypatch, limit):
     monkeypatch.setattr(D, "MAX_BROADCAST_WINDOWS", limit)
+    monkeypatch.setattr(D, "MAX_BROADCAST_HITS", limit)
     got = sorted(map(tuple, D.report(frame(spark, ROWS, DOCS), frame(spark, BENCH, ITEMS)).collect()), key=repr)
     assert got == sorted(((r[0], *brute(r[1])) for r in ROWS), key=repr)
 
@@ -53,6 +56,6 @@ def test_empty_tables(spark):
 
 
 def test_clean_keeps_columns_and_clean_rows(spark):
-    out = D.clean(frame(spark, ROWS, DOCS), frame(spark, BENCH, ITEMS))
-    assert out.columns == ["doc_id", "text", "k1", "raw"]
+    out = D.clean(frame(spark, ROWS, DOCS).withColumn("a.b", F.lit(1)).withColumn("__k1", F.lit(2)), frame(spark, BENCH, ITEMS))
+    assert out.columns == ["doc_id", "text", "k1", "raw", "a.b", "__k1"]
     assert sorted((r["doc_id"] for r in out.collect()), key=repr) == sorted((r[0] for r in ROWS if not brute(r[1])[4]), key=repr)
