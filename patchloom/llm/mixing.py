@@ -6,9 +6,11 @@ target is a fraction of one more epoch: documents ordered by an exponential key
 prefix sum of their sizes until the target is met. The last of them is taken in part, so a
 source's words equal its target rounded down.
 
-The order inside a source is never sorted in one task: keys fall into buckets that keep their
-order, sizes are summed by bucket, and only rows of one bucket are sorted together. So a source
-that holds a third of all rows is spread over all tasks.
+The order inside a source is never sorted in one task: keys fall into cells of equal width in ln(key),
+cells are counted, and those with many rows are cut into as many equal buckets as it takes, which
+are even as a cell is narrow, whatever the weights. Sizes are summed by cell and by bucket, and only
+rows of one bucket are sorted together. So a source that holds a third of all rows is spread over
+all tasks; no task has more of a source than its CELLS sums or a cell's sums.
 
 Defined cases: null text has size 0 and is taken 0 times; a null source is a source, the last
 in order; null or non-positive weights count as 1; repeated rows tie and are ordered by size;
@@ -22,8 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_WORD, materialise, read
 
-#: Rows that a bucket of a source holds on average.
+#: Rows that a bucket of a source holds at most on average.
 BUCKET_ROWS = 2_000
+#: Cells of ln(key), CELL_STEP a unit, from -LOG_LEAST on.
+CELLS, CELL_STEP, LOG_LEAST = 16_384, 164, 60
 
 
 def uniform(id_col: Column, seed: str = "mix") -> Column:
@@ -49,31 +53,45 @@ def targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tup
     ranked = ranked.withColumn("open_w", F.sum("w").over(upto.rowsBetween(0, Window.unboundedFollowing)))
     ranked = ranked.withColumn("level", (F.sum("source_size").over(every) * F.lit(share) - F.col("filled")) / F.col("open_w"))
     level = F.max("level").over(every)
-    return ranked.select("source", "source_size", F.coalesce(F.least("most", level * F.col("w")), F.col("most"), F.lit(0.0)).alias("target"))
+    return ranked.select(*sizes.columns, F.coalesce(F.least("most", level * F.col("w")), F.col("most"), F.lit(0.0)).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: DataFrame | None = None, share: float = 1.5, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, key, taken. weights: labelled (an id, once), weight."""
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: DataFrame | None = None, seed: str = "mix") -> DataFrame:
+    """name (the source, a null one as well), doc_id, source, size, key, place (of the key, in cells), cell."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(SPACE_WORD)), F.lit(0)).cast("long")
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))  # no text beyond here
     w = F.lit(1.0)
     if weights is not None:
         sized = sized.join(weights, F.col("doc_id") == F.col("labelled"), "left")
         w = F.coalesce(F.when(F.col("weight") > 0, F.col("weight").cast("double")), w)
-    sized = materialise(sized.select("doc_id", "source", "size", (-F.log(uniform(F.col("doc_id"), seed)) / w).alias("key")))
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    goals = targets(per_source.select("source", "source_size"), share).join(per_source.select(F.col("source").alias("s2"), "n"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
+    name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("name")
+    sized = sized.select(name, "doc_id", "source", "size", (-F.log(uniform(F.col("doc_id"), seed)) / w).alias("key"))
+    place = F.least(F.lit(CELLS - 1e-6), F.greatest(F.lit(0.0), (F.log("key") + LOG_LEAST) * CELL_STEP))
+    return materialise(sized.withColumn("place", place).withColumn("cell", F.floor("place").cast("int")))
+
+
+def bucketed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows with bucket and before_cell (the sizes in earlier cells of the source); and name, source, source_size."""
+    cells = materialise(rows.groupBy("name", "source", "cell").agg(F.sum("size").alias("in_cell"), F.count("*").alias("n")))
+    by_cell = Window.partitionBy("name").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("in_cell").over(by_cell), F.lit(0)).alias("before_cell")
+    cut = cells.select("name", "cell", before, F.ceil(F.col("n") / BUCKET_ROWS).alias("buckets"))
+    rows = rows.join(cut, ["name", "cell"]).withColumn("bucket", F.floor((F.col("place") - F.col("cell")) * F.col("buckets")))
+    return rows, cells.groupBy("name", "source").agg(F.sum("in_cell").alias("source_size"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: DataFrame | None = None, share: float = 1.5, seed: str = "mix") -> DataFrame:
+    """doc_id, source, size, source_size, target, key, taken. weights: labelled (an id, once), weight."""
+    rows, sources = bucketed(keyed(docs, id_col, text_col, source_col, weights, seed))
+    goals = targets(sources, share).drop("source")
     goals = goals.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     goals = materialise(goals.withColumn("rest", F.floor(F.col("target") - F.col("epochs") * F.col("source_size"))))
-    g = goals.select(F.col("source").alias("s2"), "source_size", "target", "epochs", "rest", F.greatest(F.lit(1), F.ceil(F.col("n") / BUCKET_ROWS)).alias("buckets"))
-    # exp(-key) is uniform for weight 1 and keeps the order of keys for all.
-    rows = sized.join(g, F.col("source").eqNullSafe(F.col("s2"))).withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * F.col("buckets")))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
-    before = F.coalesce(F.sum("in_bucket").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select(F.col("source").alias("s3"), F.col("bucket").alias("b3"), before.alias("before"))
-    rows = rows.join(sums, F.col("source").eqNullSafe(F.col("s3")) & (F.col("bucket") == F.col("b3")))
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    sums = rows.groupBy("name", "cell", "bucket").agg(F.sum("size").alias("in_bucket"))
+    by_bucket = Window.partitionBy("name", "cell").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("name", "cell", "bucket", F.coalesce(F.sum("in_bucket").over(by_bucket), F.lit(0)).alias("before_bucket"))
+    rows = rows.join(sums, ["name", "cell", "bucket"]).join(goals, "name")
+    inside = Window.partitionBy("name", "cell", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("before_cell") + F.col("before_bucket") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - start))
     return rows.select("doc_id", "source", "size", "source_size", "target", "key", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
 

@@ -11,7 +11,9 @@ from .util import SF, frame, same_rows
 DOCS = "doc_id long, text string, source string, clash int"
 
 
-def test_query_equals_sql(spark):
+@pytest.mark.parametrize("rows", [mixing.BUCKET_ROWS, 3])
+def test_query_equals_sql(spark, monkeypatch, rows):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", rows)
     same_rows(mixing.op9_mixing(spark, SF), mixing.OP9_SQL)
 
 
@@ -39,3 +41,14 @@ def test_words_come_to_the_target_and_reruns_agree(spark):
     assert all(r["taken"] <= 2 * r["size"] for r in got)
     again = {r["doc_id"]: r["taken"] for r in mixing.mix(frame(spark, rows[::-1], DOCS).repartition(7)).collect()}
     assert again == {r["doc_id"]: r["taken"] for r in got}
+
+
+@pytest.mark.parametrize("weight", [1e-6, 0.5, 1.0, 40.0])
+def test_buckets_are_even_at_any_weight(spark, monkeypatch, weight):
+    """Of one source, as many rows as it takes to cut cells."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 20)
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.lit("s").alias("source"))
+    weights = spark.range(60_000).select(F.col("id").alias("labelled"), F.lit(weight).alias("weight"))
+    rows = mixing.bucketed(mixing.keyed(docs, weights=weights))[0]
+    sizes = [r["count"] for r in rows.groupBy("cell", "bucket").count().collect()]
+    assert sum(sizes) == 60_000 and max(sizes) <= 60
