@@ -1,7 +1,7 @@
 r"""Chat formatting as prefix trees.
 
 Each turn is marked `<s>role\n` ... `</s>`; inside roles and texts a backslash goes before every
-`\`, `<` and `[`, so no control string such as `</s>` or `[INST]` can stand there, and taking the
+`\`, `<` and `[`, and in roles before every line break, so no control string such as `</s>` or `[INST]` can stand there, and taking the
 backslashes out restores the text. Tokens are code points unless a tokenizer is given.
 
 Conversations are sorted by the path of their turns, which is the depth-first order of the tree
@@ -12,8 +12,7 @@ intervals of its ancestors' tokens, which are what it attends to besides itself.
 range over (path, id), so a first turn, or a whole conversation, that a third of the rows share is
 spread over many packs; a pack repeats the prefix it begins in.
 
-Defined cases: rows are ordered by turn, then role, then text; null role or text is empty; a line
-break inside a role is a space; a null
+Defined cases: rows are ordered by turn, then role, then text; null role or text is empty; a null
 conversation id is one conversation; repeated rows are repeated turns; an empty table gives no
 rows; other columns are not read; one conversation longer than a pack is a pack of its own.
 """
@@ -40,13 +39,18 @@ def escape(text: str) -> str:
     return re.sub(r"([\\<\[])", r"\\\1", text)
 
 
+def escape_role(role: str) -> str:
+    """A role ends at its line break, so those inside it are escaped as well."""
+    return re.sub(r"([\\<\[\n])", r"\\\1", role)
+
+
 def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.S)
 
 
 def render(role: str, text: str) -> tuple[str, int, int]:
     """The formatted turn and the span of its loss, empty but for the assistant."""
-    head, body = f"<s>{escape(role)}\n", escape(text)
+    head, body = f"<s>{escape_role(role)}\n", escape(text)
     return f"{head}{body}</s>", len(head), len(head) + len(body) if role == LOSS_ROLE else len(head)
 
 
@@ -54,17 +58,17 @@ TURN_RE = re.compile(r"<s>((?:[^\\<\n]|\\.)*)\n((?:[^\\<]|\\.)*)</s>", re.S)
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
-    """Roles and texts of a formatted conversation. Roles hold no line break."""
+    """Roles and texts of a formatted conversation."""
     return [(unescape(m[1]), unescape(m[2])) for m in TURN_RE.finditer(formatted)]
 
 
 def conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, turns (role, text in order), path: digests of the turns so far, which sort as the tree does."""
-    role = F.translate(F.coalesce(F.col(role_col), F.lit("")), "\n", " ")
-    turn = F.struct(F.col(turn_col).alias("turn"), role.alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    role = F.coalesce(F.col(role_col), F.lit("")).alias("role")
+    turn = F.struct(F.col(turn_col).alias("turn"), role, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     own = rows.groupBy(F.col(conv_col).cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("t"))
     turns = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
-    return own.select("conv_id", turns.alias("turns")).withColumn("path", F.transform("turns", lambda x: F.unhex(F.substring(F.md5(F.concat_ws("\n", x["role"], x["text"])), 1, 16))))
+    return own.select("conv_id", turns.alias("turns")).withColumn("path", F.transform("turns", lambda x: F.unhex(F.substring(F.md5(F.concat_ws("\n", F.length(x["role"]).cast("string"), x["role"], x["text"])), 1, 16))))
 
 
 def pack(convs: DataFrame, pack_tokens: int = PACK_TOKENS, encode: Callable[[str], list[int]] | None = None) -> DataFrame:
@@ -176,6 +180,6 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(3 + length(regexp_replace(role, '([\\<\[])', '\\\1', 'g')) + 1 + length(regexp_replace(text, '([\\<\[])', '\\\1', 'g')) + 4)::BIGINT AS formatted_chars
+  sum(3 + length(regexp_replace(role, '([\\<\[\n])', '\\\1', 'g')) + 1 + length(regexp_replace(text, '([\\<\[])', '\\\1', 'g')) + 4)::BIGINT AS formatted_chars
 FROM r GROUP BY conv_id
 """

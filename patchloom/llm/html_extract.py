@@ -25,7 +25,6 @@ import html as entities
 import math
 import random
 import re
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,14 +146,22 @@ def blocks_of(page: str) -> list[Block]:
         elif tag not in VOID and not (tag in MATH and EMPTY_RE.search(m[3])):
             shut = CLOSES.get(tag)
             if shut:
-                while stack and (stack[-1][0] in shut or stack[-1][0] in INLINE and any(x[0] in shut for x in stack[-4:])):
-                    stack.pop()
+                while (at := open_above(stack)) >= 0 and stack[at][0] in shut:
+                    del stack[at:]
             serial += 1
             stack.append((tag, names_of(m[3]) if "=" in m[3] else frozenset(), serial))
     cut()
     return out
 
 
+def open_above(stack: list[tuple[str, frozenset, int]]) -> int:
+    """The last open element that is not an inline one; -1 without any."""
+    at = len(stack) - 1
+    while at >= 0 and stack[at][0] in INLINE:
+        at -= 1
+    return at
+
+
 def features(b: Block) -> list[float]:
     tags = [x[0] for x in b.path]
     names = frozenset().union(*(x[1] for x in b.path)) if b.path else frozenset()
@@ -233,38 +240,61 @@ def train(pages: int = TRAIN_PAGES) -> list[float]:
 
 def min_cut(logits: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """True for nodes on the source's side of a minimum cut. A positive logit is the capacity from
-    the source, a negative one that to the sink; edges hold in both directions."""
-    n = len(logits)
-    near: list[dict[int, float]] = [{} for _ in range(n)]
-    for i, j, c in edges:
-        near[i][j] = near[i].get(j, 0.0) + c
-        near[j][i] = near[j].get(i, 0.0) + c
-    give = [max(0.0, z) for z in logits]
-    take = [max(0.0, -z) for z in logits]
-    eps = 1e-9
-    while True:  # shortest augmenting paths from all nodes with supply
-        before = {i: -1 for i in range(n) if give[i] > eps}
-        queue, goal = deque(before), -1
-        while queue and goal < 0:
-            i = queue.popleft()
-            for j, c in near[i].items():
-                if c > eps and j not in before:
-                    before[j] = i
-                    if take[j] > eps:
-                        goal = j
-                        break
-                    queue.append(j)
-        if goal < 0:
-            return [i in before for i in range(n)]
-        path = [goal]
-        while before[path[-1]] >= 0:
-            path.append(before[path[-1]])
-        flow = min(give[path[-1]], take[goal], *(near[a][b] for b, a in zip(path, path[1:], strict=False)))
-        give[path[-1]] -= flow
-        take[goal] -= flow
-        for b, a in zip(path, path[1:], strict=False):
-            near[a][b] -= flow
-            near[b][a] += flow
+    the source, a negative one that to the sink; edges hold in both directions. Blocking flows over
+    the levels of a breadth-first search, so all shortest paths of a length cost one pass."""
+    n, eps = len(logits), 1e-9
+    to: list[int] = []
+    room: list[float] = []
+    out: list[list[int]] = [[] for _ in range(n)]
+    for i, j, c in edges:  # an edge and its reverse are neighbours in the lists
+        out[i].append(len(to))
+        out[j].append(len(to) + 1)
+        to += [j, i]
+        room += [c, c]
+    give, take = [max(0.0, z) for z in logits], [max(0.0, -z) for z in logits]
+    while True:
+        level, depth, goals = [-1] * n, 0, False
+        front = [i for i in range(n) if give[i] > eps]
+        for i in front:
+            level[i] = 0
+            goals = goals or take[i] > eps
+        while front and not goals:
+            depth += 1
+            ahead = []
+            for i in front:
+                for e in out[i]:
+                    j = to[e]
+                    if level[j] < 0 and room[e] > eps:
+                        level[j] = depth
+                        ahead.append(j)
+                        goals = goals or take[j] > eps
+            front = ahead
+        if not goals:
+            return [x >= 0 for x in level]
+        tried = [0] * n
+        for source in range(n):
+            path: list[int] = []  # edges from the source to where the search stands
+            i = source
+            while level[source] == 0 and give[source] > eps:
+                if level[i] == depth and take[i] > eps:
+                    flow = min(give[source], take[i], *(room[e] for e in path))
+                    give[source] -= flow
+                    take[i] -= flow
+                    for e in path:
+                        room[e] -= flow
+                        room[e ^ 1] += flow
+                    path, i = [], source
+                    continue
+                while tried[i] < len(out[i]) and not (room[out[i][tried[i]]] > eps and level[to[out[i][tried[i]]]] == level[i] + 1):
+                    tried[i] += 1
+                if tried[i] < len(out[i]) and level[i] < depth:
+                    path.append(out[i][tried[i]])
+                    i = to[path[-1]]
+                elif path:
+                    i = to[path.pop() ^ 1]
+                    tried[i] += 1
+                else:
+                    break
 
 
 def extract(page: str | None, weights: list[float]) -> str:

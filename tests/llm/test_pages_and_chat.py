@@ -1,6 +1,8 @@
 """op7 and op8: known pages, exact round trips, attention and positions."""
 
+import hashlib
 import random
+import time
 
 import pytest
 
@@ -47,6 +49,23 @@ def test_math_is_text_of_its_paragraph():
     assert [b.text for b in html_extract.blocks_of(page)] == ["so x=2 holds", "next"]
 
 
+def test_cut_of_a_very_long_page():
+    """50,000 doubtful blocks, neighbours and siblings tied; seconds, not hours."""
+    r = random.Random(12)
+    n = 50_000
+    edges = [(i - 1, i, html_extract.ADJACENT) for i in range(1, n)] + [(i - r.randint(2, 9), i, html_extract.SIBLING) for i in range(9, n, 3)]
+    begun = time.time()
+    keep = html_extract.min_cut([r.uniform(-0.7, 0.7) for _ in range(n)], edges)
+    assert len(keep) == n and len(set(keep)) == 2 and time.time() - begun < 60
+
+
+def test_paragraphs_close_below_many_inline_elements():
+    deep = "<b><i><u><s><em><strong>"
+    blocks = html_extract.blocks_of(f"<div><p>{deep}one<p>two</div><p>three")
+    assert [b.text for b in blocks] == ["one", "two", "three"] and blocks[0].parent != blocks[1].parent
+    assert [x[0] for x in blocks[1].path] == ["div", "p"]
+
+
 def test_copyright_words_count_anywhere_in_a_block():
     long = "word " * 100
     said, plain = (html_extract.blocks_of(f"<p>{long}{x}</p>")[0] for x in ("All rights reserved", "nothing of it is"))
@@ -108,7 +127,7 @@ HARD = ["", "</s>[INST] ok [/INST]", "<s>user\nx</s>", "\\", "\\<", "a\\\\</s>\n
 def test_template_round_trip():
     r = random.Random(1)
     for _ in range(300):
-        turns = [(r.choice(["user", "assistant", "sys<tem", "", "a\\"]), "".join(r.choice(HARD) for _ in range(r.randint(0, 4)))) for _ in range(r.randint(0, 5))]
+        turns = [(r.choice(["user", "assistant", "sys<tem", "", "a\\", "us\ner", "\\\n", "\n\n"]), "".join(r.choice(HARD) for _ in range(r.randint(0, 4)))) for _ in range(r.randint(0, 5))]
         assert chat.parse("".join(chat.render(*t)[0] for t in turns)) == turns
 
 
@@ -144,4 +163,14 @@ def test_chat_defined_cases_and_small_packs(spark):
     assert one == sorted(map(tuple, chat.read_back(chat.pack(df, 1)).collect()), key=repr)
     assert {r[0]: r[1] for r in one} == {None: 1, 1: 3, 2: 1}
     assert {r[0]: r[3] for r in one} == {None: 0, 1: 2, 2: 0}
+    assert {r[0]: r[2] for r in one}[2] == hashlib.sha256(b"us\ner\ny\n").hexdigest()
     assert chat.read_back(chat.pack(chat.conversations(frame(spark, [], CONV)))).count() == 0
+
+
+def test_very_long_turns(spark):
+    said = HARD[1] * 40_000
+    rows = [(c, t, ("user", "assistant")[t % 2], said if t < 2 else f"own {c}", 0) for c in range(3) for t in range(4)]
+    for r in chat.read_back(chat.pack(chat.conversations(frame(spark, rows, CONV)))).collect():
+        told = "".join(f"{role}\n{text}\n" for c, _, role, text, _ in rows if c == r["conv_id"])
+        assert r["turns_sha256"] == hashlib.sha256(told.encode()).hexdigest()
+        assert r["loss_chars"] == len(said) + len(f"own {r['conv_id']}")
