@@ -1,65 +1,97 @@
-"""Removal of long repeated byte strings by bucket-pointer refinement over suffixes.
+"""Removal of long repeated strings by bucket-pointer refinement over suffixes.
 
 A byte goes when a string of WINDOW bytes that covers it also starts anywhere else in the corpus.
 Whether a suffix is repeated for WINDOW bytes is what a suffix array sorted to that depth tells:
 
 1. Every window has one canonical q-gram, the one of least hash in it (leftmost of equals). Equal
-   windows have equal canonical q-grams at equal places, so windows can be compared group by group
-   of that q-gram. Its hash is counted over the corpus; one that occurs once has no repeated window.
-2. For the others, the bytes of the windows around each occurrence go to the group of its hash.
-   Occurrences with the same bytes become one row in the task that reads them.
-3. Inside a run of groups suffixes are sorted by bucket-pointer refinement: initial buckets of
-   q = WINDOW / 4 bytes, refined by sorting each position on its bucket and the bucket of the
+   windows have equal canonical q-grams at equal places, so windows can be compared bucket by bucket
+   of that q-gram. Neighbouring windows with the same one are a run; its bucket is counted over the
+   corpus, by occurrences and by different strings around it.
+2. A bucket with more than HOT different strings (a passage that very many documents share, with
+   their own text around it) is refined: its runs are cut into steps of windows, and a step's bucket
+   is the hash of what all its windows have in common; in a last refinement a step is one window.
+   What is still alone in its bucket has no repeated window.
+3. For the other buckets, the symbols of the windows around each occurrence go to the bucket's
+   group, from each task every string once. What a task itself sees twice is repeated as a whole.
+   Inside a run of groups suffixes are sorted by bucket-pointer refinement: initial buckets of
+   q = WINDOW / 4 symbols, refined by sorting each position on its bucket and the bucket of the
    position q further on, then with those buckets 2q further on. A suffix alone in its bucket is
    final and leaves; after the last step the suffixes that still share a bucket are repeated.
+   A group holds at most HOT strings and one for each part of the input that a task holds.
 4. Spans come back to their documents, which are cut.
 
-find_words() does the same with windows of WORDS words: each word becomes a code of CODE characters,
-and windows that do not start with a word are left out of what is found.
+find_words() does the same with windows of WORDS words; its symbols are 64-bit hashes of words.
 
-Which hashes occur more than once reaches step 2 as a Bloom filter of checked size (16 bits for
-each, FILTER_BITS at most); what it lets through by mistake is alone in its group and drops out
-there. Bucket identifiers of the first step are 64-bit hashes of q bytes.
+Which buckets occur more than once, and which are hot, reaches the tasks as Bloom filters of checked
+size (16 bits a bucket, FILTER_BITS at most). What the first lets through by mistake is alone in its
+group and drops out there; what the second does is refined like a hot bucket, in every task.
+Bucket identifiers are 64-bit hashes.
 
 Defined cases: null text is empty; texts shorter than a window lose nothing; overlapping
 occurrences and occurrences in the same document count; a repeated row is another occurrence, so
 copies lose all their windows; null ids are kept; an empty table gives no rows; texts of any
-length are read whole; other columns are not read.
+length are read whole; other columns are not read, and cut() keeps them under any name.
 """
 
 from __future__ import annotations
 
-import base64
 import hashlib
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read, row_key
+from .common import discard, materialise, read, row_key
+from .words import WordHasher, buffers
 
-WINDOW = 400
-WORDS = 51
-GRAM = 64
-CODE = 8  # characters of a word's code, of 48 bits
-MAX_CODES = 500_000
-WORD_RE = re.compile(rb"\S+")
+WINDOW, GRAM = 400, 64
+WORDS, WORD_GRAM = 51, 8
+#: Symbols that are hashed at a time.
 CHUNK = 2 << 20
+HOT = 2_000
+#: Into so many steps the windows around a q-gram are cut where a bucket is hot; then into single windows.
+STEPS = 16
 FILTER_BITS = 1 << 29
-ROW_SCHEMA = "h long, body binary, occ array<struct<k1:long,k2:long,at:long>>"
+MAX_BROADCAST_BYTES = 32 << 20
+SPANS = "array<struct<start:long,stop:long>>"
+ROW_SCHEMA = "h long, body binary, many boolean, k1 long, k2 long, start long, stop long"
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Rows (k1, k2, text) of a batch to rows (k1, k2, symbols).
+Symbols = Callable[[pa.RecordBatch], Iterator[tuple[int, int, np.ndarray]]]
+
+
+# --- symbols ----------------------------------------------------------------------------------------------------
+
+
+def byte_symbols(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+    data, at = buffers(batch.column(2))
+    for i, (k1, k2) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+        yield k1, k2, data[at[i] : at[i + 1]]
+
+
+def word_symbols(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+    hasher = WordHasher(fold=False)
+    data, at = buffers(batch.column(2))
+    k1, k2, row = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
+    while row < len(k1):
+        upto = max(row + 1, int(np.searchsorted(at, at[row] + CHUNK, side="right")) - 1)
+        begins = at[row : upto + 1] - at[row]
+        h, place, _ = hasher(data[at[row] : at[upto]], begins[:-1])
+        cut = np.searchsorted(place, begins)
+        for i in range(row, upto):
+            yield k1[i], k2[i], h[cut[i - row] : cut[i - row + 1]]
+        row = upto
 
 
 def gram_hash(b: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all n-byte strings of b, from those of half the length at two offsets."""
+    """Hashes of all strings of n symbols of b, from those of half the length at two offsets."""
     h = (b.astype(np.uint64) + np.uint64(1)) * _A
     size = 1
     while size < n:
         step = min(size, n - size)
-        t = h[: len(h) - step] * _B
+        t = h[: max(0, len(h) - step)] * _B
         t ^= t >> np.uint64(29)
         t += h[step:]
         t *= _A
@@ -68,121 +100,183 @@ def gram_hash(b: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def anchors(b: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all q-grams, and for each window start the place of its canonical q-gram."""
-    h = gram_hash(b, gram)
+def anchors(h: np.ndarray, window: int, gram: int) -> np.ndarray:
+    """For each window start the place of its canonical q-gram; h: the hashes of all q-grams."""
     m = (h & ~np.uint64((1 << 24) - 1)) | np.arange(len(h), dtype=np.uint64)
     width, need = 1, window - gram + 1
     while width < need:
         step = min(width, need - width)
         m = np.minimum(m[: len(m) - step], m[step:])
         width += step
-    return h, (m & np.uint64((1 << 24) - 1)).astype(np.int64)
+    return (m & np.uint64((1 << 24) - 1)).astype(np.int64)
 
 
-def pieces(rows: Iterator[tuple[int, int, str | None]], window: int) -> Iterator[tuple[bytes, list[tuple[int, int, int, int, int]]]]:
-    """Buffers of whole texts of about CHUNK bytes, and (k1, k2, place in the text, begin, end) of each
+def pieces(rows: Iterator[tuple[int, int, np.ndarray]], window: int) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int, int, int]]]]:
+    """Buffers of whole texts of about CHUNK symbols, and (k1, k2, place in the text, begin, end) of each
     text in them. A longer text comes in overlapping parts, so that each window is whole in one."""
     buf, spans, size = [], [], 0
-    for k1, k2, text in rows:
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        if len(raw) < window:
+    for k1, k2, own in rows:
+        if len(own) < window:
             continue
-        for a in range(0, len(raw) - window + 1, CHUNK):
-            part = raw[a : a + CHUNK + window - 1]
+        for a in range(0, len(own) - window + 1, CHUNK):
+            part = own[a : a + CHUNK + window - 1]
             if size + len(part) > CHUNK + window and buf:
-                yield b"".join(buf), spans
+                yield np.concatenate(buf), spans
                 buf, spans, size = [], [], 0
             spans.append((k1, k2, a, size, size + len(part)))
             buf.append(part)
             size += len(part)
     if buf:
-        yield b"".join(buf), spans
+        yield np.concatenate(buf), spans
+
+
+# --- buckets ----------------------------------------------------------------------------------------------------
+
+
+class Runs:
+    """Runs of window starts of a buffer with one bucket: key, first and last start, the q-gram's place, the text's number."""
+
+    def __init__(self, key: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray, text: np.ndarray) -> None:
+        self.key, self.first, self.last, self.place, self.text = key, first, last, place, text
+
+    def where(self, keep: np.ndarray) -> Runs:
+        return Runs(self.key[keep], self.first[keep], self.last[keep], self.place[keep], self.text[keep])
 
 
-def runs(buf: bytes, spans: list, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of window starts with one canonical q-gram: its hash, the first and last start, the text's number."""
-    h, place = anchors(np.frombuffer(buf, np.uint8), window, gram)
+def runs(buf: np.ndarray, spans: list, window: int, gram: int) -> Runs:
+    h = gram_hash(buf, gram)
+    place = anchors(h, window, gram)
     begin = np.array([s[3] for s in spans])
     end = np.array([s[4] for s in spans])
     valid = np.zeros(len(place) + 1, np.int64)
     valid[begin] += 1
     np.subtract.at(valid, np.minimum(end - window + 1, len(place)), 1)
     ok = np.flatnonzero(np.cumsum(valid[:-1]) > 0)
-    cut = np.flatnonzero(np.concatenate([[True], (place[ok][1:] != place[ok][:-1]) | (ok[1:] != ok[:-1] + 1) | np.isin(ok[1:], begin)]))
-    first, last = ok[cut], ok[np.concatenate([cut[1:] - 1, [len(ok) - 1]])]
-    return h[place[first]].view(np.int64), first, last, np.searchsorted(begin, first, side="right") - 1
-
-
-def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, str | None]]:
-    for b in batches:
-        k1, k2 = b.column(0).to_pylist(), b.column(1).to_pylist()
-        for i, t in enumerate(b.column(2)):
-            yield k1[i], k2[i], t.as_py()
-
-
-def repeated_grams(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """h of canonical q-grams that occur twice or more."""
+    starts = np.zeros(len(buf) + 1, bool)
+    starts[begin] = True
+    new = np.ones(len(ok), bool)
+    new[1:] = (place[ok][1:] != place[ok][:-1]) | (ok[1:] != ok[:-1] + 1) | starts[ok[1:]]
+    cut = np.flatnonzero(new)
+    first, last = ok[cut], ok[np.append(cut[1:] - 1, len(ok) - 1)]
+    return Runs(h[place[first]].view(np.int64), first, last, place[first], np.searchsorted(begin, first, side="right") - 1)
+
+
+def refined(r: Runs, buf: np.ndarray, window: int, step: int) -> Runs:
+    """Runs cut into steps of windows, by how far before the q-gram they start; a step's key is the hash of
+    the run's key, the step, and the symbols that all windows of the whole step hold."""
+    if not len(r.key):
+        return r
+    low, high = (r.place - r.last) // step, (r.place - r.first) // step
+    n = high - low + 1
+    own = np.repeat(np.arange(len(n)), n)
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[own]
+    place = r.place[own]
+    first = np.maximum(r.first[own], place - (k + 1) * step + 1)
+    last = np.minimum(r.last[own], place - k * step)
+    core = gram_hash(buf, window - step + 1)[place - k * step]
+    key = (core * _A + r.key[own].view(np.uint64) * _B + k.astype(np.uint64)) * _A
+    return Runs((key ^ (key >> np.uint64(31))).view(np.int64), first, last, place, r.text[own])
+
+
+def inside(key: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    bit = key & np.int64(32 * len(bits) - 1)
+    return (bits[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 == 1
+
+
+def at_level(buf: np.ndarray, spans: list, window: int, gram: int, hot: list[np.ndarray]) -> Runs:
+    """Of the runs, those in hot buckets, refined once for each filter."""
+    r = runs(buf, spans, window, gram)
+    for bits, step in zip(hot, (-(-window // STEPS), 1), strict=False):
+        r = refined(r.where(inside(r.key, bits)), buf, window, step)
+    return r
+
+
+def counted(texts: DataFrame, symbols: Symbols, window: int, gram: int, hot: list[np.ndarray]) -> DataFrame:
+    """key, n (occurrences), d (different strings, of each buffer) of the buckets that occur twice or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for buf, spans in pieces(rows_of(batches), window):
-            h = runs(buf, spans, window, gram)[0]
-            u, n = np.unique(h, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n)], ["h", "n"])
-
-    return texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-
-
-def bloom(rows: DataFrame, col: str, bits: int) -> np.ndarray:
-    """A filter of the given size over a column, put together by aggregates."""
-    bit = f"pmod({col}, {bits}L)"
-    words = rows.selectExpr(f"cast({bit} div 32 as int) AS w", f"shiftleft(1L, cast({bit} % 32 as int)) AS bit").groupBy("w").agg(F.expr("bit_or(bit) AS bits")).toArrow()
+        for buf, spans in pieces((row for b in batches for row in symbols(b)), window):
+            r = at_level(buf, spans, window, gram, hot)
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(gram_hash(buf, 4) if len(buf) >= 4 else np.zeros(0, np.uint64))])
+            body = total[np.maximum(r.first, r.last + window - 3)] - total[r.first]  # enough to tell strings apart
+            order = np.lexsort((body, r.key))
+            k, b = r.key[order], body[order]
+            new = np.ones(len(k), bool)
+            new[1:] = k[1:] != k[:-1]
+            other = new.copy()
+            other[1:] |= b[1:] != b[:-1]
+            at = np.flatnonzero(new)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(k[at]), pa.array(np.diff(np.append(at, len(k)))), pa.array(np.add.reduceat(other.astype(np.int64), at))], ["key", "n", "d"])
+
+    rows = texts.mapInArrow(run, "key long, n long, d long")
+    return rows.groupBy("key").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).where("n > 1")
+
+
+def bloom(rows: DataFrame, n: int) -> np.ndarray:
+    """A filter over the keys of n rows, put together by aggregates."""
+    bits = 1 << 16
+    while bits < min(16 * n, FILTER_BITS):
+        bits *= 2
+    words = rows.selectExpr(f"cast((key & {bits - 1}L) div 32 as int) AS w", "shiftleft(1L, cast(key & 31L as int)) AS bit").groupBy("w").agg(F.expr("bit_or(bit) AS bits")).toArrow()
     out = np.zeros(bits // 32, np.uint32)
     out[words.column("w").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
     return out
 
 
-def neighbourhoods(texts: DataFrame, may: np.ndarray, window: int, gram: int) -> DataFrame:
-    """ROW_SCHEMA: the bytes of all windows of an occurrence, and where they stand."""
-    bits = np.int64(len(may) * 32)
+def neighbourhoods(texts: DataFrame, symbols: Symbols, window: int, gram: int, twice: list[np.ndarray], hot: list[np.ndarray]) -> DataFrame:
+    """ROW_SCHEMA: the symbols of all windows of an occurrence and where it stands. Where a task has a string
+    twice, its spans come as rows without h, and the string comes without a place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, bytes], list] = {}
+        held: dict[tuple[int, bytes], tuple | None] = {}
+        spare: list[tuple] = []
         size = 0
-        schema = pa.schema([("h", pa.int64()), ("body", pa.binary()), ("occ", pa.list_(pa.struct([("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.int64())])))])
+        schema = pa.schema([("h", pa.int64()), ("body", pa.binary()), ("many", pa.bool_()), ("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
         def out() -> Iterator[pa.RecordBatch]:
-            keys = list(held)
-            for i in range(0, len(keys), 4000):
-                own = keys[i : i + 4000]
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in own], pa.int64()), pa.array([k[1] for k in own], pa.binary()), pa.array([held[k] for k in own], schema.field("occ").type)], schema=schema)
-
-        for buf, spans in pieces(rows_of(batches), window):
-            h, first, last, text = runs(buf, spans, window, gram)
-            bit = h % bits
-            good = np.flatnonzero((may[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1)
-            for i in good.tolist():
-                k1, k2, a, begin, _ = spans[text[i]]
-                body = buf[first[i] : last[i] + window]
-                own = held.setdefault((int(h[i]), body), [])
-                if not own:
-                    size += len(body) + 200
-                own.append({"k1": k1, "k2": k2, "at": int(first[i]) - begin + a})
-                size += 100
+            rows = [(h, body, at is None, *(at or (None,) * 4)) for (h, body), at in held.items()] + [(None, None, None, *at) for at in spare]
+            for i in range(0, len(rows), 4000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 4000], strict=True), schema, strict=True)], schema=schema)
+
+        for buf, spans in pieces((row for b in batches for row in symbols(b)), window):
+            r = runs(buf, spans, window, gram)
+            for level, may in enumerate(twice):
+                want = inside(r.key, may)
+                if level < len(hot):
+                    burns = inside(r.key, hot[level])
+                    want &= ~burns
+                for h, first, last, text in zip(*(x[want].tolist() for x in (r.key, r.first, r.last, r.text)), strict=True):
+                    k1, k2, a, begin, _ = spans[text]
+                    key, at = (h, buf[first : last + window].tobytes()), (k1, k2, first - begin + a, last - begin + a + window)
+                    if key not in held:
+                        held[key] = at
+                        size += len(key[1]) + 300
+                        continue
+                    size += 150
+                    spare.append(at)
+                    if held[key] is not None:
+                        spare.append(held[key])
+                        held[key] = None
+                if level < len(hot):
+                    r = refined(r.where(burns), buf, window, (-(-window // STEPS), 1)[level])
             if size > 24 << 20:
                 yield from out()
-                held, size = {}, 0
+                held, spare, size = {}, [], 0
         yield from out()
 
     return texts.mapInArrow(run, ROW_SCHEMA)
 
 
-def refine(bodies: list[bytes], many: np.ndarray, window: int) -> list[np.ndarray]:
+# --- refinement -------------------------------------------------------------------------------------------------
+
+
+def refine(bodies: list[np.ndarray], many: np.ndarray, window: int) -> list[np.ndarray]:
     """For each body, which of its windows are repeated. many: bodies that occur more than once as they are."""
     ends = np.cumsum([len(x) for x in bodies])
-    b = np.frombuffer(b"".join(bodies), np.uint8)
-    q = window // 4
-    left = np.repeat(ends, [len(x) for x in bodies]) - np.arange(len(b))  # bytes to the end of the body
+    b = np.concatenate(bodies)
+    q = max(1, window // 4)
+    left = np.repeat(ends, [len(x) for x in bodies]) - np.arange(len(b))  # symbols to the end of the body
     name = gram_hash(b, q) if len(b) >= q else np.zeros(0, np.uint64)
     alive = np.flatnonzero(left[: len(name)] >= q)
     bucket = np.full(len(b), -1, np.int64)
@@ -208,114 +302,102 @@ def refine(bodies: list[bytes], many: np.ndarray, window: int) -> list[np.ndarra
     return [np.ones(len(x) - window + 1, bool) if m else bucket[s : s + len(x) - window + 1] >= 0 for x, s, m in zip(bodies, starts, many, strict=True)]
 
 
-def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
-    """k1, k2, start, stop: byte spans of the documents that repeated windows cover."""
-    fields = ["k1", "k2", "start", "stop"]
+def repeated_spans(rows: DataFrame, window: int, symbol: type) -> DataFrame:
+    """k1, k2, start, stop: spans of the documents that repeated windows cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[int, dict[bytes, list]] = {}
+        groups: dict[int, dict[bytes, list]] = {}  # by body: whether it is repeated as a whole, and its places
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
             found: list[tuple] = []
-
-            def put(occ: list, spans: list[tuple[int, int]]) -> None:
-                found.extend((o["k1"], o["k2"], o["at"] + a, o["at"] + z) for o in occ for a, z in spans)
-
-            bodies, occs = [], []
+            bodies, many, places = [], [], []
             for g in groups.values():
-                if len(g) > 1:
-                    bodies.extend(g)
-                    occs.extend(g.values())
-                else:
-                    for body, occ in g.items():
-                        if len(occ) > 1:
-                            put(occ, [(0, len(body))])
+                for body, (whole, at) in g.items():
+                    if len(g) > 1:
+                        bodies.append(np.frombuffer(body, symbol))
+                        many.append(whole)
+                        places.append(at)
+                    elif whole:
+                        found += at
             if bodies:
-                for occ, hit in zip(occs, refine(bodies, np.array([len(o) > 1 for o in occs]), window), strict=True):
+                for at, hit in zip(places, refine(bodies, np.array(many), window), strict=True):
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-                    put(occ, [(int(a), int(z) - 1 + window) for a, z in zip(edge[::2], edge[1::2], strict=True)])
+                    found += [(k1, k2, start + int(a), start + int(z) - 1 + window) for k1, k2, start, _ in at for a, z in zip(edge[::2], edge[1::2], strict=True)]
             for i in range(0, len(found), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found[i : i + 50_000], strict=True)], fields)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found[i : i + 50_000], strict=True)], ["k1", "k2", "start", "stop"])
 
         last = None
         for b in batches:
-            for h, body, occ in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for h, body, many, *at in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if h != last and size > CHUNK:
                     yield from out()
                     groups, size = {}, 0
                 last = h
-                g = groups.setdefault(h, {})
-                if body not in g:
-                    size += len(body)
-                g.setdefault(body, []).extend(occ)
+                own = groups.setdefault(h, {}).get(body)
+                if own is None:
+                    groups[h][body] = [many, [] if many else [tuple(at)]]
+                    size += len(body) + 100
+                else:
+                    own[0] = True
+                    if not many:
+                        own[1].append(tuple(at))
+                        size += 50
         yield from out()
 
     return rows.mapInArrow(run, "k1 long, k2 long, start long, stop long")
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """k1, k2, spans: what to remove from each document that loses anything."""
-    return find_in(docs.select(*row_key(id_col, text_col), F.col(text_col)), window, gram)
-
-
-def find_in(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """find() on k1, k2, text."""
-    twice = materialise(repeated_grams(texts, window, gram))
-    bits = 1 << 16
-    n = twice.count()
-    while bits < min(16 * n, FILTER_BITS):
-        bits *= 2
-    rows = neighbourhoods(texts, bloom(twice, "h", bits), window, gram)
-    spans = repeated_spans(rows.repartition("h").sortWithinPartitions("h"), window)
+def find_in(texts: DataFrame, symbols: Symbols, symbol: type, window: int, gram: int) -> DataFrame:
+    """k1, k2, spans (of symbols) of k1, k2, text."""
+    twice, hot = [], []
+    for level in range(3):
+        buckets = materialise(counted(texts, symbols, window, gram, hot))
+        twice.append(bloom(buckets, buckets.count()))
+        burning = buckets.where(F.col("d") > HOT)
+        n = burning.count()
+        if n and level < 2:
+            hot.append(bloom(burning, n))
+        discard(buckets)
+        if len(hot) <= level:
+            break
+    rows = materialise(neighbourhoods(texts, symbols, window, gram, twice, hot))
+    groups = rows.where("h is not null")
+    spans = repeated_spans(groups.repartition("h").sortWithinPartitions("h"), window, symbol)
+    spans = spans.union(rows.where("h is null").select("k1", "k2", "start", "stop"))
     return materialise(spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans")))
 
 
-class WordCodes(dict):
-    """CODE characters for each word, the same in every task."""
-
-    def __missing__(self, word: bytes) -> str:
-        if len(self) >= MAX_CODES:
-            self.clear()
-        code = self[word] = base64.b64encode(hashlib.blake2b(word, digest_size=CODE * 3 // 4).digest()).decode()
-        return code
-
-
-def coded(texts: DataFrame) -> DataFrame:
-    """k1, k2, and the text with each word as its code and nothing between them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = WordCodes()
-        for b in batches:
-            own = ["".join(map(codes.__getitem__, (t.as_py() or "").encode("utf-8", "surrogatepass").split())) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.string())], ["k1", "k2", "text"])
-
-    return texts.mapInArrow(run, "k1 long, k2 long, text string")
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """k1, k2, spans: what to remove from each document that loses anything."""
+    return find_in(docs.select(*row_key(id_col, text_col), F.col(text_col)), byte_symbols, np.uint8, window, gram)
 
 
-def find_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, gram: int = GRAM) -> DataFrame:
+def find_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, gram: int = WORD_GRAM) -> DataFrame:
     """find() with a window of that many words, whatever their bytes and the white space between them.
     Spans are bytes of the text, from the first word of a window to the end of its last."""
-    texts = docs.select(*row_key(id_col, text_col), F.col(text_col))
-    window = words * CODE
+    texts = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher(fold=False)
         for b in batches:
             out = []
-            for text, spans in zip(b.column(2), b.column(3), strict=True):
-                at = [m.span() for m in WORD_RE.finditer((text.as_py() or "").encode("utf-8", "surrogatepass"))]
-                own = []  # in order, as the spans are
-                for s in spans.as_py():  # every window that starts in it is repeated; those that start with a word count
-                    first, last = -(-s["start"] // CODE), (s["stop"] - window) // CODE
-                    if first <= last:
-                        own.append({"start": at[first][0], "stop": at[last + words - 1][1]})
-                out.append([{"start": a, "stop": z} for a, z in merge(own)])
+            data, at = buffers(b.column(2))
+            for i, spans in enumerate(b.column(3).to_pylist()):
+                _, start, stop = hasher(data[at[i] : at[i + 1]], np.zeros(1, np.int64))
+                out.append([{"start": int(start[a]), "stop": int(stop[z - 1])} for a, z in merge(spans)])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, kind)], ["k1", "k2", "spans"])
 
-    found = find_in(coded(texts), window, gram)
-    hit = texts.dropDuplicates(["k1", "k2"]).join(found, ["k1", "k2"]).select("k1", "k2", text_col, "spans")
-    return hit.mapInArrow(run, "k1 long, k2 long, spans array<struct<start:long,stop:long>>").where("size(spans) > 0")
+    found = few(find_in(texts, word_symbols, np.uint64, words, gram))
+    hit = texts.join(found, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", "text", "spans")
+    return hit.mapInArrow(run, "k1 long, k2 long, spans array<struct<start:long,stop:long>>")
+
+
+def few(found: DataFrame) -> DataFrame:
+    """found, to be broadcast if its spans are few."""
+    rows, spans = found.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
+    return F.broadcast(found) if 40 * rows + 40 * spans <= MAX_BROADCAST_BYTES else found
 
 
 def either(*found: DataFrame) -> DataFrame:
@@ -344,22 +426,24 @@ def keep_bytes(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def report(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+def report(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """A row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; and numbers that found has besides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for text, spans in zip(b.column(1), b.column(2), strict=True):
-                raw, own = (text.as_py() or "").encode("utf-8", "surrogatepass"), merge(spans.as_py())
+            data, at = buffers(b.column(1))
+            for i, spans in enumerate(b.column(2).to_pylist()):
+                raw, own = data[at[i] : at[i + 1]].tobytes(), merge(spans)
                 kept = keep_bytes(raw, own)
                 rows.append((len(raw), len(raw) - len(kept), len(own), hashlib.sha256(kept).hexdigest()))
             cols = list(zip(*rows, strict=True)) or [()] * 4
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), *b.columns[3:]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *also])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(id_col, text_col), F.col(text_col).alias("text")).join(found, ["k1", "k2"], "left")
-    return rows.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(id_col, text_col), F.col(text_col).alias("text")).join(few(found), ["k1", "k2"], "left")
+    rows = rows.select("doc_id", "text", "spans", *(F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c) for c in also))
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + "".join(f", {c} long" for c in also))
 
 
 def cut(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -372,15 +456,21 @@ def cut(docs: DataFrame, found: DataFrame) -> DataFrame:
 
         return pd.Series([keep_bytes((t or "").encode("utf-8", "surrogatepass"), merge(s)).decode("utf-8", "ignore") if s is not None else t for t, s in zip(texts, spans, strict=True)])
 
-    cols = docs.columns
     k1, k2 = row_key("doc_id", "text")
-    rows = docs.select("*", k1, k2).join(found, ["k1", "k2"], "left")
-    rows = rows.withColumn("text", shorter("text", "spans"))
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), k1, k2).join(few(found), ["k1", "k2"], "left")
+    held = held.withColumn("shorter", shorter("row.text", "spans"))
+    cols = {c: F.col("row").getField(c) for c in docs.columns} | {"text": F.col("shorter")}
     if "n_chars" in cols:
-        rows = rows.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*cols)
+        cols["n_chars"] = F.when(F.col("spans").isNull(), cols["n_chars"]).otherwise(F.length("shorter")).cast(docs.schema["n_chars"].dataType)
+    return held.select(*(v.alias(c) for c, v in cols.items()))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """report(), and n_passage_bytes: how many bytes stand in passages of WORDS words that occur elsewhere as
+    well, whatever their bytes."""
     docs = read(spark, sf_dir, "documents")
-    return report(docs, find(docs))
+    found, passages = find(docs), materialise(find_words(docs))
+    size = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    both = found.join(passages.select("k1", "k2", size.alias("n_passage_bytes")), ["k1", "k2"], "full")
+    both = both.withColumn("spans", F.coalesce("spans", F.expr(f"cast(array() as {SPANS})")))
+    return report(docs, materialise(both), also=("n_passage_bytes",))

@@ -4,24 +4,27 @@ import hashlib
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from patchloom.llm import suffix_dedup as S
+from patchloom.llm.common import read
 
-from .util import frame
+from .util import SF, frame
 
 DOCS = "doc_id long, text string, h long, spans string"
 
 
 def brute(texts, w):
     raws = [(t or "").encode() for t in texts]
-    n = Counter(b[i : i + w] for b in raws for i in range(len(b) - w + 1))
+    n = Counter(hash(b[i : i + w]) for b in raws for i in range(len(b) - w + 1))
     out = []
     for b in raws:
         cover = bytearray(len(b))
         for i in range(len(b) - w + 1):
-            if n[b[i : i + w]] > 1:
+            if n[hash(b[i : i + w])] > 1:
                 cover[i : i + w] = b"\1" * w
         kept = bytes(x for x, y in zip(b, cover, strict=True) if not y)
         spans = sum(1 for i in range(len(b)) if cover[i] and (not i or not cover[i - 1]))
@@ -48,11 +51,30 @@ def test_brute_force(spark, seed, window, gram):
     assert [got[i] for i in range(len(texts))] == brute(texts, window)
 
 
+@pytest.mark.parametrize("hot", [1, 3])
+def test_hot_buckets_are_refined(spark, monkeypatch, hot):
+    """Nearly all buckets are hot here, or those of the passage that many different texts share."""
+    monkeypatch.setattr(S, "HOT", hot)
+    r = random.Random(6)
+    texts = corpus(7) + [f"{r.random()} {'shared ' * 3}{'passage of some length, ' * 3}{r.random()}" for _ in range(12)]
+    docs = frame(spark, [(i, t, 1, "") for i, t in enumerate(texts)], DOCS)
+    got = {x["doc_id"]: tuple(x)[1:] for x in S.report(docs, S.find(docs, window=60, gram=16)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 60)
+
+
+def test_400_bytes_of_all_documents(spark):
+    docs = read(spark, SF.replace("0.001", "0.01"), "documents")
+    rows = [(x["doc_id"], x["text"]) for x in docs.select("doc_id", "text").collect()]
+    got = {x["doc_id"]: tuple(x)[1:5] for x in S.op3_suffix_dedup(spark, SF.replace("0.001", "0.01")).collect()}
+    assert [got[i] for i, _ in rows] == brute([t for _, t in rows], 400)
+
+
 def test_chunks_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(S, "CHUNK", 300)
     texts = corpus(4)
     docs = frame(spark, [(i, t, 1, "") for i, t in enumerate(texts)], DOCS)
-    found = [x for x in S.pieces(((1, 1, t) for t in texts), 40)]
+    batch = pa.record_batch([pa.array([1] * len(texts)), pa.array([1] * len(texts)), pa.array(texts)], ["k1", "k2", "text"])
+    found = list(S.pieces(S.byte_symbols(batch), 40))
     assert all(len(b) <= 300 + 2 * 40 for b, _ in found)
     got = {r["doc_id"]: tuple(r)[1:] for r in S.report(docs, S.find(docs, window=40, gram=16)).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts, 40)
@@ -70,7 +92,9 @@ def test_repeated_rows_nulls_and_empty(spark):
 def test_cut(spark):
     passage = "é" * 210
     docs = spark.createDataFrame([(1, f"a{passage}b", "x", 212), (2, f"{passage}c", "x", 211), (3, None, "x", None)], "doc_id long, text string, source string, n_chars long")
+    docs = docs.withColumn("k1", F.lit(7)).withColumn("spans", F.lit(None).cast("int")).withColumn("a.b", F.lit("c"))
     out = {r["doc_id"]: r for r in S.cut(docs, S.find(docs)).collect()}
+    assert out[1].asDict().keys() == set(docs.columns) and out[2]["k1"] == 7 and out[2]["spans"] is None
     assert (out[1]["text"], out[1]["n_chars"]) == ("ab", 2) and out[2]["text"] == "c" and out[3]["text"] is None
 
 
@@ -87,7 +111,7 @@ def brute_words(texts, n):
     return out
 
 
-@pytest.mark.parametrize(("seed", "words", "gram"), [(1, 9, 16), (5, 12, 64)])
+@pytest.mark.parametrize(("seed", "words", "gram"), [(1, 9, 3), (5, 12, 4)])
 def test_word_windows_brute_force(spark, seed, words, gram):
     texts = corpus(seed) + ["x " * 40, "word \n\tword  " * 20]
     docs = frame(spark, list(enumerate(texts)), "doc_id long, text string")
