@@ -13,7 +13,9 @@ Words are runs of ASCII letters (A-Z lower-cased) and bytes outside ASCII.
 Defined cases: null or wordless text has only the models' constant terms; null labels leave a row
 out of that category's sample; a document labelled twice has its highest label; if a category
 has only one class, its probability is that class's share; no labels at all give probability 0
-and toxic false; repeated rows have equal results; other columns are not read.
+and toxic false; repeated rows have equal results; an empty table gives no rows; texts of any length
+are read whole; of thresholds with the same F1 the highest, and of equal id hashes the lowest id, is taken;
+other columns are not read.
 """
 
 from __future__ import annotations
