@@ -14,7 +14,7 @@ def rotate_index(angle: int, r: Column, c: Column, h: Column, w: Column) -> tupl
 
 
 def rotate_array(angle: int, data: Column, h: Column, w: Column) -> Column:
-    """A row-major array turned clockwise, by index arithmetic."""
+    """A row-major array turned clockwise, by index arithmetic; null stays null."""
     new_w = w if check_angle(angle) == 180 else h
 
     def old(i: Column) -> Column:
@@ -22,7 +22,7 @@ def rotate_array(angle: int, data: Column, h: Column, w: Column) -> Column:
         row, col = {90: (h - 1 - c, r), 180: (h - 1 - r, w - 1 - c), 270: (c, w - 1 - r)}[angle]
         return row * w + col
 
-    return F.transform(F.sequence(F.lit(0), h * w - 1), lambda i: F.element_at(data, (old(i) + 1).cast("int")))
+    return F.when(data.isNotNull(), F.transform(F.sequence(F.lit(0), h * w - 1), lambda i: F.element_at(data, (old(i) + 1).cast("int"))))
 
 
 def check_angle(angle: int) -> int:

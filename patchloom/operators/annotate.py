@@ -105,10 +105,15 @@ def with_grounding(patches: DataFrame, cfg: GroundingConfig = GroundingConfig())
     return out.withColumn("grounding", grounding).drop("__comps", "__top", "__n")
 
 
-def write_back(index: DataFrame, answers: DataFrame, key: str, column: str, overwrite: bool = True) -> DataFrame:
-    """index with `column` of answers by key; without overwrite a value that is there stays. answers
-    with a repeated key: any one of them."""
-    new = answers.select(F.col(key).alias("__k"), F.col(column).alias("__new")).dropDuplicates(["__k"])
+def write_back(index: DataFrame, answers: DataFrame, key: str, column: str, overwrite: bool = True, position: str | None = None) -> DataFrame:
+    """index with `column` of answers by key; without overwrite a value that is there stays. Of a repeated
+    key the answer of the last position counts; without a position a repeated key is an error."""
+    own = answers.select(F.col(key).alias("__k"), F.col(column).alias("__v"), (F.col(position) if position else F.lit(0)).alias("__at"))
+    last = own.groupBy("__k").agg(F.max_by(F.struct("__v"), "__at").alias("__one"), F.count("*").alias("__n"))
+    value = F.col("__one.__v")
+    if not position:
+        value = F.when(F.col("__n") == 1, value).otherwise(F.raise_error(F.concat(F.lit("several answers for "), F.col("__k").cast("string"))).cast(answers.schema[column].dataType))
+    new = last.select("__k", value.alias("__new"))
     old = F.col(column) if column in index.columns else F.lit(None)
     value = F.coalesce(F.col("__new"), old) if overwrite else F.coalesce(old, F.col("__new"))
     return index.join(new, F.col(key) == F.col("__k"), "left").withColumn(column, value).drop("__k", "__new")

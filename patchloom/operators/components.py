@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,7 +101,8 @@ def shapes(cls: np.ndarray) -> list[list[dict]]:
 def with_shapes(patches: DataFrame) -> DataFrame:
     """patches (with h, w and cls, a row-major array of class ids) plus `shapes`, by class id and null
     for absent classes; an element has cls, sums over its pixels (n, sx, sy, sxx, syy, sxy), its boundary pixels, those of them that touch
-    another class, and its components by first pixel. cls 5 is the converted classes together."""
+    another class, and its components by first pixel. cls 5 is the converted classes together. An array
+    that is null or does not have h * w elements has null shapes."""
     names = patches.columns
     schema = T.StructType([*patches.schema.fields, T.StructField("shapes", T._parse_datatype_string(SHAPE_DDL))])
 
@@ -110,8 +112,10 @@ def with_shapes(patches: DataFrame) -> DataFrame:
             data = b.column("cls")
             found: list = [None] * b.num_rows
             by_size: dict[tuple[int, int], list[int]] = {}
-            for i, hw in enumerate(zip(hs, ws, strict=True)):
-                by_size.setdefault(hw, []).append(i)
+            length = pc.list_value_length(data).to_pylist()
+            for i, (h, w) in enumerate(zip(hs, ws, strict=True)):
+                if length[i] is not None and h and w and length[i] == h * w:
+                    by_size.setdefault((h, w), []).append(i)
             for (h, w), rows in by_size.items():
                 step = max(1, (1 << 20) // max(1, h * w))
                 for a in range(0, len(rows), step):

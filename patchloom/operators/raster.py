@@ -19,8 +19,8 @@ def tile_origins(r: Column, c: Column, h: int, w: int, size: int, stride: int) -
         last = (n - size) // stride
         first = F.greatest(F.lit(0), F.ceil((v - size + 1) / stride)).cast("int")
         upto = F.least(F.lit(last), F.floor(v / stride)).cast("int")
-        steps = F.sequence(F.lit(0), F.lit(max(last, 0)))
-        return F.transform(F.filter(steps, lambda k: (k >= first) & (k <= upto) & F.lit(last >= 0)), lambda k: k * stride)
+        steps = F.when(first <= upto, F.sequence(first, F.greatest(first, upto))).otherwise(F.array().cast("array<int>"))
+        return F.transform(steps, lambda k: k * stride)
 
     return F.flatten(F.transform(along(r, h), lambda y: F.transform(along(c, w), lambda x: F.struct(y.alias("row"), x.alias("col")))))
 
@@ -47,18 +47,31 @@ def valid_tiles(tiled: DataFrame, bands: list[str], nodata: Column, max_empty: f
     return tiled.groupBy("row", "col").agg(F.count("*").alias("pixels"), F.avg(ok.cast("int")).alias("valid_fraction")).where(F.col("valid_fraction") >= 1 - max_empty)
 
 
-def augment(patches: DataFrame, array_col: str = "code", angles: tuple[int, ...] = ANGLES) -> DataFrame:
-    """patches and their turns: patch_id gets _rot{angle}, source_patch_id and angle tell where from.
-    Rows that are turns already are not turned again. Turning is index arithmetic inside the row."""
+def augment(patches: DataFrame, array_col: str | tuple[str, ...] = "code", angles: tuple[int, ...] = ANGLES, compat: bool = False) -> DataFrame:
+    """patches and their turns: patch_id gets _rot{angle}, source_patch_id and angle tell where from, and
+    a transform, where there is one, turns too (compat as in rotate_transform). Rows that are turns
+    already are not turned again. The source is read once; turning is index arithmetic inside the row."""
     base = patches if "angle" in patches.columns else patches.withColumn("source_patch_id", F.col("patch_id").cast("string")).withColumn("angle", F.lit(0))
-    out = base.withColumn("patch_id", F.col("patch_id").cast("string"))
-    upright = base.where("angle = 0")
-    for angle in angles:
-        turned = upright.withColumn(array_col, G.rotate_array(angle, F.col(array_col), F.col("h"), F.col("w"))).withColumn("patch_id", F.concat(F.col("patch_id").cast("string"), F.lit(f"_rot{angle}"))).withColumn("angle", F.lit(angle))
-        if angle != 180:
-            turned = turned.withColumn("__h", F.col("h")).withColumn("h", F.col("w")).withColumn("w", F.col("__h")).drop("__h")
-        out = out.unionByName(turned)
-    return out
+    turn = F.explode(F.when(F.col("angle") == 0, F.array(*map(F.lit, (0, *angles)))).otherwise(F.array(F.lit(0))))
+    out = base.withColumn("patch_id", F.col("patch_id").cast("string")).withColumn("__turn", turn)
+
+    def by_angle(same: Column, of) -> Column:  # noqa: ANN001
+        for angle in angles:
+            same = F.when(F.col("__turn") == angle, of(angle)).otherwise(same)
+        return same
+
+    h, w = F.col("h"), F.col("w")
+    changed = {c: by_angle(F.col(c), lambda angle, c=c: G.rotate_array(angle, F.col(c), h, w)) for c in ((array_col,) if isinstance(array_col, str) else array_col)}
+    if "transform" in base.columns:
+        own = [F.col("transform")[k] for k in range(6)]
+        changed["transform"] = by_angle(F.col("transform"), lambda angle: F.when(F.col("transform").isNotNull(), F.array(*(x.cast("double") for x in G.rotate_transform(angle, own, h, w, compat)))))
+    on_side = F.col("__turn").isin(90, 270)
+    changed |= {"h": F.when(on_side, w).otherwise(h), "w": F.when(on_side, h).otherwise(w)}
+    changed["patch_id"] = F.when(F.col("__turn") == 0, F.col("patch_id")).otherwise(F.concat("patch_id", F.lit("_rot"), F.col("__turn").cast("string")))
+    changed["angle"] = F.col("angle") + F.col("__turn")
+    # under names of their own first, or lambdas would see the new h and w
+    names = [c for c in out.columns if c != "__turn"]
+    return out.select(*(changed.get(c, F.col(c)).alias(f"__{c}") for c in names)).select(*(F.col(f"__{c}").alias(c) for c in names))
 
 
 def resample_nearest(source: DataFrame, to: DataFrame, src_t: tuple, dst_t: tuple, value: str, src_nodata: float | None = None, dst_nodata: float | None = None) -> DataFrame:

@@ -52,17 +52,56 @@ SPLITS = """l AS (SELECT CASE WHEN doc_id % 10 < 7 THEN 0 WHEN doc_id % 10 < 9 T
 sp AS (SELECT patch_id, ['train', 'val', 'test'][max(o) + 1] AS split FROM l GROUP BY patch_id)"""
 SPLIT_INHERIT = f"WITH {SPLITS} SELECT vec_id::VARCHAR || '_rot' || angle AS patch_id, split FROM embeddings JOIN sp ON sp.patch_id = vec_id::VARCHAR, (SELECT unnest([90, 180, 270]) AS angle)"
 SPLIT_APPEND = f"WITH {SPLITS} SELECT * FROM sp UNION ALL SELECT vec_id::VARCHAR, 'train' FROM embeddings WHERE vec_id::VARCHAR NOT IN (SELECT patch_id FROM sp)"
-NEAREST_RESAMPLE = f"""WITH {MOSAIC}, g AS (SELECT i // 100 AS r, i % 100 AS c FROM range(10000) t(i)),
+FINE = "d AS (SELECT h * 10 // 7 + 8 AS h2, w * 10 // 7 + 8 AS w2 FROM hw), g AS (SELECT i // w2 AS r, i % w2 AS c FROM (SELECT unnest(range(h2 * w2)) AS i, w2 FROM d))"
+NEAREST_RESAMPLE = f"""WITH {MOSAIC}, {FINE},
 s AS (SELECT *, floor(((c + 0.5::DOUBLE) * 7 - 13) / 10)::BIGINT AS sc, floor(((r + 0.5::DOUBLE) * -7 + 9) / -10)::BIGINT AS sr FROM g)
-SELECT s.r, s.c, coalesce(mo.code, 255)::BIGINT AS v FROM s LEFT JOIN (SELECT * FROM mo WHERE code <> 3 AND r < 64 AND c < 64) mo ON mo.r = sr AND mo.c = sc"""
+SELECT s.r, s.c, coalesce(mo.code, 255)::BIGINT AS v FROM s LEFT JOIN (SELECT * FROM mo WHERE code <> 3) mo ON mo.r = sr AND mo.c = sc"""
 LABEL_ATTACH = f"WITH {MOSAIC} SELECT r, " + ", ".join(f"count(*) FILTER ((r + c) % {k + 2} <> 0) AS n_{n}, (sum(code * 10 + {k}) FILTER ((r + c) % {k + 2} <> 0))::BIGINT AS sum_{n}" for k, n in enumerate(("mapbiomas", "deforestation", "no_forest", "residual", "hydrography"))) + " FROM mo GROUP BY r"
-GRID = "g AS (SELECT i // 160 AS r, i % 160 AS c FROM range(20480) t(i))"
-RASTERIZE_POINTS = f"WITH {GRID}, k AS (SELECT DISTINCT l_partkey % 160 AS c, l_suppkey * 7 % 128 AS r FROM lineitem) SELECT g.r, count(k.r) AS burnt, coalesce(sum(CASE WHEN k.r IS NOT NULL THEN g.c END), 0)::BIGINT AS place_sum FROM g LEFT JOIN k ON g.r = k.r AND g.c = k.c GROUP BY g.r"
-RASTERIZE_RINGS = f"""WITH {GRID}, q AS (SELECT (s_suppkey * 37 % 150)::DOUBLE AS x, (s_suppkey * 53 % 120)::DOUBLE AS y, s_suppkey FROM supplier WHERE s_suppkey % 9 = 0),
-e AS (SELECT s_suppkey, x AS x0, y AS y0, x + 6 AS x1, y - 2 AS y1 FROM q UNION ALL SELECT s_suppkey, x + 6, y - 2, x + 8, y + 5 FROM q UNION ALL SELECT s_suppkey, x + 8, y + 5, x - 1, y + 4 FROM q UNION ALL SELECT s_suppkey, x - 1, y + 4, x, y FROM q),
-h AS (SELECT r, c, s_suppkey FROM g JOIN e ON (y0 > r + 0.5) <> (y1 > r + 0.5) AND c + 0.5::DOUBLE < (x1 - x0) * (r + 0.5::DOUBLE - y0) / (y1 - y0) + x0 GROUP BY ALL HAVING count(*) % 2 = 1),
-b AS (SELECT DISTINCT r, c FROM h)
-SELECT g.r, count(b.r) AS burnt, coalesce(sum(CASE WHEN b.r IS NOT NULL THEN g.c END), 0)::BIGINT AS place_sum FROM g LEFT JOIN b ON g.r = b.r AND g.c = b.c GROUP BY g.r"""
+
+
+def grid(dims: str) -> str:
+    return f"dim AS ({dims}), g AS (SELECT i // w AS r, i % w AS c FROM (SELECT unnest(range(h * w)) AS i, w FROM dim))"
+
+
+def burnt(name: str, rings: str) -> str:
+    """name (r, c, burnt) of grid g: pixels whose centre is in a quadrilateral (k, x, y)."""
+    edges = " UNION ALL ".join(f"SELECT k, x + {x0} AS x0, y + {y0} AS y0, x + {x1} AS x1, y + {y1} AS y1 FROM {name}_q" for x0, y0, x1, y1 in ((0, 0, 6, -2), (6, -2, 8, 5), (8, 5, -1, 4), (-1, 4, 0, 0)))
+    return f"""{name}_q AS ({rings}), {name}_e AS ({edges}),
+{name}_h AS (SELECT r, c, k FROM g JOIN {name}_e ON (y0 > r + 0.5) <> (y1 > r + 0.5) AND c + 0.5::DOUBLE < (x1 - x0) * (r + 0.5::DOUBLE - y0) / (y1 - y0) + x0 GROUP BY ALL HAVING count(*) % 2 = 1),
+{name} AS (SELECT g.r, g.c, (b.r IS NOT NULL)::BIGINT AS burnt FROM g LEFT JOIN (SELECT DISTINCT r, c FROM {name}_h) b ON g.r = b.r AND g.c = b.c)"""
+
+
+ROWS_BURNT = "SELECT r, sum(burnt)::BIGINT AS burnt, sum(burnt * c)::BIGINT AS place_sum"
+RASTERIZE_POINTS = f"""WITH {grid('SELECT max(l_suppkey * 7 % 128) + 1 AS h, max(l_partkey % 160) + 1 AS w FROM lineitem')}, k AS (SELECT DISTINCT l_partkey % 160 AS c, l_suppkey * 7 % 128 AS r FROM lineitem)
+SELECT g.r, count(k.r) AS burnt, coalesce(sum(CASE WHEN k.r IS NOT NULL THEN g.c END), 0)::BIGINT AS place_sum FROM g LEFT JOIN k ON g.r = k.r AND g.c = k.c GROUP BY g.r"""
+RING_DIMS = "SELECT max(s_suppkey * 53 % 120) + 6 AS h, max(s_suppkey * 37 % 150) + 9 AS w FROM supplier"
+RINGS = "SELECT s_suppkey AS k, ((s_suppkey * 37 + {n}) % 150)::DOUBLE AS x, ((s_suppkey * 53 + {n}) % 120)::DOUBLE AS y FROM supplier"
+RASTERIZE_RINGS = f"WITH {grid(RING_DIMS)}, {burnt('b', RINGS.format(n=0))} {ROWS_BURNT} FROM b GROUP BY r"
+FEATURE_SOURCES = {"deforestation": 0, "no_forest": 11, "residual": 23, "hydrography": 31}
+_MEETS = "WHERE x - 1 <= 100 AND 20 <= x + 8 AND y - 2 <= 90 AND 10 <= y + 5"
+FEATURE_LAYERS = f"WITH {grid(RING_DIMS)}, " + ",\n".join(burnt(name, f"SELECT * FROM ({RINGS.format(n=n)}{' WHERE s_suppkey % 3 = 1' if name == 'deforestation' else ''}) {_MEETS}") for name, n in FEATURE_SOURCES.items()) + " " + " UNION ALL ".join(f"SELECT '{name}' AS layer, * FROM ({ROWS_BURNT} FROM {name} GROUP BY r)" for name in FEATURE_SOURCES)
+EXPORT_BAND = f"""WITH {MOSAIC}, {FINE},
+s AS (SELECT *, floor((c + 0.5::DOUBLE) * 7 / 10)::BIGINT AS sc, floor((r + 0.5::DOUBLE) * -7 / -10)::BIGINT AS sr FROM g)
+SELECT s.r, sum(coalesce(mo.code + 1, 0))::BIGINT AS total, count(mo.code) AS inside FROM s LEFT JOIN mo ON mo.r = sr AND mo.c = sc GROUP BY s.r"""
+SCENE = f"""{MOSAIC}, sc AS (SELECT r, c, code, CASE WHEN code = 4 THEN 0 ELSE code END AS b2, CASE WHEN code = 33 THEN code ELSE 0 END AS b8,
+  CASE WHEN (r * 7 + c) % 11 <> 0 THEN code ELSE 0 END AS mb, CASE WHEN (r + c) % 2 <> 0 THEN code * 10 + 1 ELSE 99 END AS de FROM mo),
+cs AS (SELECT *, CASE WHEN mb IN (3, 5, 6, 49) THEN 0 WHEN mb = 15 THEN 1 WHEN mb IN (18, 19, 39, 40, 41) THEN 2 WHEN mb = 33 THEN 3 WHEN mb = 24 THEN 4 ELSE 255 END AS fc FROM sc),
+o AS (SELECT a.y, b.x FROM (SELECT unnest(range(0, h - 31, 32)) AS y FROM hw) a, (SELECT unnest(range(0, w - 31, 32)) AS x FROM hw) b),
+wi AS (SELECT 'scene_r' || y || '_c' || x AS patch_id, y, x, (r - y) * 32 + (c - x) + 1 AS i, b2, b8, mb, de, fc FROM o JOIN cs ON cs.r >= y AND cs.r < y + 32 AND cs.c >= x AND cs.c < x + 32),
+ke AS (SELECT patch_id FROM wi GROUP BY patch_id HAVING avg((b2 <> 0 OR b8 <> 0)::INT) >= 1 - 0.95::DOUBLE),
+ws AS (SELECT * FROM wi WHERE patch_id IN (SELECT patch_id FROM ke))"""
+SCENE_PATCHES = f"""WITH {SCENE} SELECT patch_id, y AS "row", x AS col, {r6('avg((b2 <> 0 OR b8 <> 0)::INT)')} AS valid_fraction, 500000.0::DOUBLE + x * 10 AS origin_x, 9000000.0::DOUBLE - y * 10 AS origin_y,
+sum(i * b2)::BIGINT AS b2_sum, sum(i * b8)::BIGINT AS b8_sum, sum(i * mb)::BIGINT AS label_sum FROM ws GROUP BY patch_id, y, x"""
+SCENE_BLOCKS = f"""WITH {SCENE}, l AS (SELECT patch_id, i, unnest(['s2_rgbnir', 's2_rgbnir', 'mapbiomas', 'deforestation', 'mapbiomas_5c']) AS layer, unnest([1, 2, 1, 1, 1]) AS band, unnest([b2, b8, mb, de, fc]) AS v FROM ws)
+SELECT patch_id, layer, band::BIGINT AS band, (CASE layer WHEN 'deforestation' THEN 99 WHEN 'mapbiomas_5c' THEN 255 ELSE -1 END)::DOUBLE AS nodata, sum(i * v)::BIGINT AS place_sum, count(*) AS pixels FROM l GROUP BY patch_id, layer, band"""
+IMAGE_LABEL_JOIN = f"WITH {SCENE} SELECT patch_id, count(*) FILTER (fc <> 255) AS valid FROM ws WHERE (y // 32 + x // 32) % 3 = 2 GROUP BY patch_id"
+REMAP_STATUS = f"""WITH {SCENE}, p AS (SELECT DISTINCT patch_id, (y // 32 + x // 32) % 3 AS k FROM ws)
+SELECT patch_id, CASE k WHEN 0 THEN 'missing' WHEN 1 THEN 'written' ELSE 'exists' END AS status FROM p"""
+INDEX_OF_SCENE = f"""WITH {SCENE}, n AS (SELECT patch_id, count(*) AS total, count(*) FILTER (fc <> 255) AS valid, [count(*) FILTER (fc = 0), count(*) FILTER (fc = 1), count(*) FILTER (fc = 2), count(*) FILTER (fc = 3), count(*) FILTER (fc = 4)] AS k FROM ws GROUP BY patch_id)
+SELECT patch_id, 'patches/' || patch_id || '/s2_rgbnir.tif' AS image_path, 'patches/' || patch_id || '/mapbiomas_5c.tif' AS label_path, {r6('valid::DOUBLE / total')} AS label_valid_fraction,
+['forest', 'pasture', 'agriculture', 'water', 'urban'][list_position(k, list_max(k))] AS dominant_class, k[4] AS n_water FROM n WHERE valid::DOUBLE / total >= 0.5::DOUBLE"""
+AUGMENT_TRANSFORMS = ROTATE_TRANSFORM.replace("SELECT patch_id, angle::INT AS angle, compat,", "SELECT patch_id::VARCHAR || '_rot' || angle AS patch_id, angle::INT AS angle,") + " WHERE NOT compat"
+WRITEBACK_REPEATS = "SELECT vec_id AS patch_id, CASE WHEN vec_id % 4 = 0 THEN -1 ELSE vec_id * 10 + vec_id % 4 END AS answer FROM embeddings"
 SCENES = """sc AS (SELECT 'scene' || o_orderkey AS scene_id, o_orderdate AS acquired, (o_orderkey * 31 % 1000)::DOUBLE / 10 AS cloud_pct, 100.0::DOUBLE * (o_orderkey % 120) AS area_km2,
 (o_orderkey * 13 % 360)::DOUBLE AS x1, (o_custkey * 7 % 180)::DOUBLE AS y1, (o_orderkey * 13 % 360)::DOUBLE + 100 AS x2, (o_custkey * 7 % 180)::DOUBLE + o_orderkey % 120 AS y2 FROM orders),
 ok AS (SELECT * FROM sc WHERE acquired >= TIMESTAMP '1995-01-01' AND acquired < TIMESTAMP '1997-01-01' AND cloud_pct < 40 AND area_km2 >= 6000 AND x1 <= 180 AND 100 <= x2 AND y1 <= 90 AND 50 <= y2)"""
@@ -103,7 +142,7 @@ pr AS (SELECT *, valid > 0 AND px > 0 AND px::DOUBLE / greatest(valid, 1) >= 0.0
 BOX = ", ".join(f"{r6(f'CASE WHEN present THEN ({{}}{k}{plus})::DOUBLE / 8 END')} AS n{k}" for k, plus in (("x1", ""), ("y1", ""), ("x2", " + 1"), ("y2", " + 1")))
 GROUNDING_BOXES = f"WITH RECURSIVE {CONV}, {KEPT} SELECT patch_id, rank::BIGINT AS rank, comp_id::BIGINT AS comp_id, area, {BOX.format(*['kc.'] * 4)} FROM kc JOIN (SELECT patch_id, present FROM pr) USING (patch_id) WHERE rank <= 3 AND present"
 GROUNDING_UNION = f"WITH RECURSIVE {CONV}, {KEPT}, kn AS (SELECT patch_id, count(*) AS kept FROM kc WHERE rank <= 3 GROUP BY patch_id) SELECT patch_id, px AS pixel_count, n AS n_components, coalesce(kept, 0)::BIGINT AS kept_components, present, {BOX.format(*['pr.'] * 4)} FROM pr LEFT JOIN kn USING (patch_id)"
-WRITEBACK = f"WITH {PX}, p AS (SELECT patch_id, count(*) FILTER (cls IN (1, 2)) AS px FROM cl GROUP BY patch_id), o AS (SELECT patch_id, CASE WHEN patch_id % 2 = 0 THEN px END AS new, CASE WHEN patch_id % 3 = 0 THEN -1 END AS old FROM p) SELECT patch_id, coalesce(new, old)::BIGINT AS overwritten, coalesce(old, new)::BIGINT AS kept FROM o"
+WRITEBACK = f"WITH {PX}, p AS (SELECT patch_id, count(*) FILTER (cls IN (1, 2)) AS px FROM cl GROUP BY patch_id), o AS (SELECT patch_id, CASE WHEN px > 0 THEN px END AS new, CASE WHEN patch_id % 3 = 0 THEN -1 END AS old FROM p) SELECT patch_id, coalesce(new, old)::BIGINT AS overwritten, coalesce(old, new)::BIGINT AS kept FROM o"
 HN = "en AS (SELECT patch_id, max(f) AS top, sum(CASE WHEN f > 0 THEN -f * ln(f) ELSE 0 END) / ln(5.0::DOUBLE) AS h FROM fr GROUP BY patch_id)"
 MIX = "CASE WHEN {t} >= 0.90 AND h <= 0.15 THEN 'Land cover is highly homogeneous.' WHEN h >= 0.65 THEN 'Land cover is highly mixed across classes.' WHEN h >= 0.45 THEN 'Land cover is moderately mixed.' ELSE 'Land cover is slightly mixed.' END"
 ENTROPY = f"WITH {CNT}, {HN} SELECT patch_id, {r6('h')} AS entropy, {MIX.format(t='top')} AS mixture FROM en"

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import classes as K
 from ..functions import geometry as G
 from ..functions import text as X
-from ..operators import annotate, catalog, raster, stats
+from ..operators import annotate, catalog, raster, scene, stats
 from ..operators.components import CONVERTED, with_shapes
 from ..sources import patches as P
 from . import oracle as O
-from .pipeline import RegionConfig, index
+from .pipeline import RegionConfig, index, index_of_scene
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -157,9 +157,18 @@ def split_append_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("nearest_resample", O.NEAREST_RESAMPLE)
 def nearest_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mosaic on a finer, shifted grid that overhangs it; forest codes stand for nodata."""
-    src = P.mosaic(spark, sf_dir).where("r < 64 and c < 64")
-    grid = spark.range(100 * 100).select(F.floor(F.col("id") / 100).cast("int").alias("r"), (F.col("id") % 100).cast("int").alias("c"))
-    return raster.resample_nearest(src, grid, (10.0, 0.0, 0.0, 0.0, -10.0, 0.0), (7.0, 0.0, -13.0, 0.0, -7.0, 9.0), "v", src_nodata=3, dst_nodata=255).select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.col("v").cast("long").alias("v"))
+    h, w = scene_shape(sf_dir, spark)
+    grid = scene.grid(spark, h * 10 // 7 + 8, w * 10 // 7 + 8)
+    return raster.resample_nearest(P.mosaic(spark, sf_dir), grid, (10.0, 0.0, 0.0, 0.0, -10.0, 0.0), (7.0, 0.0, -13.0, 0.0, -7.0, 9.0), "v", src_nodata=3, dst_nodata=255).select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.col("v").cast("long").alias("v"))
+
+
+@query("export_band", O.EXPORT_BAND)
+def export_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A year's land-cover band on the reference grid; what the source does not reach is 0."""
+    h, w = scene_shape(sf_dir, spark)
+    years = P.mosaic(spark, sf_dir).select("r", "c", F.col("v").alias("classification_2020"), (F.col("v") + 1).alias("classification_2021"))
+    out = scene.on_grid(scene.label_band(years, 2021), h * 10 // 7 + 8, w * 10 // 7 + 8, (10.0, 0.0, 0.0, 0.0, -10.0, 0.0), (7.0, 0.0, 0.0, 0.0, -7.0, 0.0))
+    return out.groupBy(F.col("r").cast("long").alias("r")).agg(F.sum("value").cast("long").alias("total"), F.count_if(F.col("value") > 0).alias("inside"))
 
 
 @query("label_attach", O.LABEL_ATTACH)
@@ -172,22 +181,120 @@ def label_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy(F.col("r").cast("long").alias("r")).agg(*(F.count(n).alias(f"n_{n}") for n in names), *(F.sum(n).cast("long").alias(f"sum_{n}") for n in names))
 
 
+def rows_burnt(burnt: DataFrame, value: str = "burnt") -> DataFrame:
+    return burnt.groupBy(F.col("r").cast("long").alias("r")).agg(F.sum(value).cast("long").alias("burnt"), F.sum(F.col(value) * F.col("c")).cast("long").alias("place_sum"))
+
+
 @query("rasterize_points", O.RASTERIZE_POINTS)
 def rasterize_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 160).cast("double").alias("x"), (F.col("l_suppkey") * 7 % 128).cast("double").alias("y"))
-    grid = spark.range(128 * 160).select(F.floor(F.col("id") / 160).cast("int").alias("r"), (F.col("id") % 160).cast("int").alias("c"))
-    burnt = raster.rasterize_points(grid, pts, 1.0)
-    return burnt.groupBy(F.col("r").cast("long").alias("r")).agg(F.sum("burnt").cast("long").alias("burnt"), F.sum(F.col("burnt") * F.col("c")).cast("long").alias("place_sum"))
+    h, w = (int(v) + 1 for v in pts.agg(F.max("y"), F.max("x")).first())
+    return rows_burnt(raster.rasterize_points(scene.grid(spark, h, w), pts, 1.0))
+
+
+def rings(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
+    """Quadrilaterals around suppliers."""
+    x, y = ((F.col("s_suppkey") * 37 + shift) % 150).cast("double"), ((F.col("s_suppkey") * 53 + shift) % 120).cast("double")
+    return table(spark, sf_dir, "supplier").select(F.array(x, x + 6, x + 8, x - 1).alias("xs"), F.array(y, y - 2, y + 5, y + 4).alias("ys"), (F.lit(2019) + F.col("s_suppkey") % 3).alias("year"))
+
+
+def ring_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h, w = (int(v) + 1 for v in rings(spark, sf_dir).agg(F.max(F.array_max("ys")), F.max(F.array_max("xs"))).first())
+    return scene.grid(spark, h, w)
 
 
 @query("rasterize_rings", O.RASTERIZE_RINGS)
 def rasterize_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quadrilaterals around suppliers, burnt into a grid."""
-    x, y = (F.col("s_suppkey") * 37 % 150).cast("double"), (F.col("s_suppkey") * 53 % 120).cast("double")
-    rings = table(spark, sf_dir, "supplier").where("s_suppkey % 9 = 0").select(F.array(x, x + 6, x + 8, x - 1).alias("xs"), F.array(y, y - 2, y + 5, y + 4).alias("ys"))
-    grid = spark.range(128 * 160).select(F.floor(F.col("id") / 160).cast("int").alias("r"), (F.col("id") % 160).cast("int").alias("c"))
-    burnt = raster.rasterize_rings(grid, rings, 1, 32)
-    return burnt.groupBy(F.col("r").cast("long").alias("r")).agg(F.sum("burnt").cast("long").alias("burnt"), F.sum(F.col("burnt") * F.col("c")).cast("long").alias("place_sum"))
+    """All rings burnt into the grid that holds them."""
+    return rows_burnt(raster.rasterize_rings(ring_grid(spark, sf_dir), rings(spark, sf_dir), 1, 32))
+
+
+@query("feature_layers", O.FEATURE_LAYERS)
+def feature_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four polygon sources that meet a region, one of them of a single year, as layers."""
+    box = [F.lit(v) for v in (20.0, 10.0, 100.0, 90.0)]
+    layers = scene.feature_layers(ring_grid(spark, sf_dir), {name: rings(spark, sf_dir, n) for name, n in O.FEATURE_SOURCES.items()}, box, 2020, bin_size=32)
+    out = None
+    for name, layer in layers.items():
+        one = rows_burnt(layer, "value").select(F.lit(name).alias("layer"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+LAYER_NODATA = {"mapbiomas": None, "deforestation": 99.0}
+
+
+def scene_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame], int, int]:
+    """The mosaic as a scene of two bands, and two label layers with pixels missing."""
+    px = P.mosaic(spark, sf_dir)
+    bands = px.select("r", "c", F.when(F.col("v") == 4, 0).otherwise(F.col("v")).alias("B2"), F.when(F.col("v") == 33, 33).otherwise(0).alias("B8"))
+    layers = {"mapbiomas": px.where((F.col("r") * 7 + F.col("c")) % 11 != 0).select("r", "c", F.col("v").alias("value")), "deforestation": px.where((F.col("r") + F.col("c")) % 2 != 0).select("r", "c", (F.col("v") * 10 + 1).alias("value"))}
+    return bands, layers, *scene_shape(sf_dir, spark)
+
+
+def scene_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bands, layers, h, w = scene_of(spark, sf_dir)
+    return scene.patches(scene.filled(bands, layers, LAYER_NODATA), h, w, SIZE, SIZE, ("B2", "B8"), tuple(layers), transform=(10.0, 0.0, 500000.0, 0.0, -10.0, 9000000.0))
+
+
+def scene_blocks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scene.blocks(scene.reclassified(scene_rows(spark, sf_dir)), ("B2", "B8"), (*LAYER_NODATA, scene.RECLASSIFIED), -1.0, LAYER_NODATA)
+
+
+def place_sum(array: str):  # noqa: ANN201
+    """A sum that tells every place of an array apart."""
+    return F.aggregate(F.transform(array, lambda v, i: (i + 1).cast("long") * v), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+@query("scene_patches", O.SCENE_PATCHES)
+def scene_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of the scene with bands and layers, and the origins of their transforms."""
+    p = scene_rows(spark, sf_dir)
+    return p.select("patch_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), dp(F.col("valid_fraction")).alias("valid_fraction"), F.col("transform")[2].alias("origin_x"), F.col("transform")[5].alias("origin_y"), place_sum("B2").alias("b2_sum"), place_sum("B8").alias("b8_sum"), place_sum("mapbiomas").alias("label_sum"))
+
+
+@query("scene_blocks", O.SCENE_BLOCKS)
+def scene_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands, aligned and reclassified layers of every patch as blocks, each with its nodata."""
+    b = scene_blocks_of(spark, sf_dir)
+    return b.select("patch_id", "layer", F.col("band").cast("long").alias("band"), "nodata", place_sum("data").alias("place_sum"), F.size("data").cast("long").alias("pixels"))
+
+
+def incomplete_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of patches of which a third lack an image, and a third the label."""
+    at = F.regexp_extract_all("patch_id", F.lit(r"_[rc](\d+)"), F.lit(1))
+    k = (F.floor(at[0].cast("int") / SIZE) + F.floor(at[1].cast("int") / SIZE)) % 3
+    b = scene_blocks_of(spark, sf_dir)
+    return b.where(~((k == 0) & F.col("layer").isin(scene.LABEL, scene.RECLASSIFIED)) & ~((k == 1) & F.col("layer").isin(scene.IMAGE, scene.RECLASSIFIED)))
+
+
+@query("image_label_join", O.IMAGE_LABEL_JOIN)
+def image_label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patches that have an image and a reclassified label; others drop out."""
+    j = scene.image_with_label(scene.with_layers(incomplete_blocks(spark, sf_dir), [scene.IMAGE, scene.LABEL]))
+    return j.select("patch_id", F.size(F.filter("cls", lambda v: v != K.IGNORE)).cast("long").alias("valid"))
+
+
+@query("remap_status", O.REMAP_STATUS)
+def remap_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scene.remap_status(incomplete_blocks(spark, sf_dir))
+
+
+@query("index_of_scene", O.INDEX_OF_SCENE)
+def index_of_scene_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a scene and its layers to index records, in one plan."""
+    bands, layers, h, w = scene_of(spark, sf_dir)
+    r = index_of_scene(bands, layers, h, w, "region0", 2020, SIZE, SIZE, ("B2", "B8"), layer_nodata=LAYER_NODATA, cfg=RegionConfig(min_label_valid_frac=0.5))
+    return r.select("patch_id", "image_path", "label_path", dp(F.col("label_valid_fraction")).alias("label_valid_fraction"), "dominant_class", F.col("class_counts")["water"].alias("n_water"))
+
+
+@query("augment_transforms", O.AUGMENT_TRANSFORMS)
+def augment_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transforms of turned patches, as they stand in the turned rows."""
+    p = P.from_vectors(spark, sf_dir)
+    t = G.window_origin([F.lit(v) for v in (10.0, 0.0, 500000.0, 0.0, -10.0, 9000000.0)], F.floor(F.col("patch_id") / 20) * 8, F.col("patch_id") % 20 * 8)
+    a = raster.augment(p.withColumn("transform", F.array(*(x.cast("double") for x in t)))).where("angle <> 0")
+    return a.select("patch_id", "angle", *(dp(F.col("transform")[k]).alias(n) for k, n in enumerate("abcdef")))
 
 
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,13 +377,21 @@ def grounding_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("grounding_writeback", O.WRITEBACK)
 def grounding_writeback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fresh answers beside older ones that a third of the records have."""
-    answers = grounded(spark, sf_dir).select("patch_id", F.col("grounding.pixel_count").cast("long").alias("answer")).where("patch_id % 2 = 0")
+    answers = grounded(spark, sf_dir).select("patch_id", F.col("grounding.pixel_count").cast("long").alias("answer")).where("answer > 0")
     old = counted(spark, sf_dir).select("patch_id", F.when(F.col("patch_id") % 3 == 0, F.lit(-1).cast("long")).alias("answer"))
     over = annotate.write_back(old, answers, "patch_id", "answer").withColumnRenamed("answer", "overwritten")
     keep = annotate.write_back(old, answers, "patch_id", "answer", overwrite=False).select(F.col("patch_id").alias("p"), F.col("answer").alias("kept"))
     return over.join(keep, F.col("patch_id") == F.col("p")).select("patch_id", "overwritten", "kept")
 
 
+@query("writeback_repeats", O.WRITEBACK_REPEATS)
+def writeback_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to three answers for a record, in no order; the last by position counts."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("patch_id"))
+    answers = e.select("patch_id", F.explode(F.slice(F.array(F.lit(3), F.lit(1), F.lit(2)), 1, 3)).alias("pos")).where("pos <= patch_id % 4").withColumn("answer", F.col("patch_id") * 10 + F.col("pos"))
+    return annotate.write_back(e.withColumn("answer", F.lit(-1).cast("long")), answers, "patch_id", "answer", position="pos")
+
+
 @query("entropy_mixture", O.ENTROPY)
 def entropy_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = counted(spark, sf_dir)

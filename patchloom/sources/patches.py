@@ -24,8 +24,10 @@ def write_blocks(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def single_band(df: DataFrame) -> DataFrame:
     """Block rows, with an error for a patch and layer of several bands."""
-    n = df.groupBy("patch_id", "layer").agg(F.countDistinct("band").alias("n")).where("n > 1").select(F.raise_error("a label layer has one band").cast("int").alias("bad"))
-    return df.join(F.broadcast(n), F.col("bad").isNotNull(), "left_anti")
+    bad = df.groupBy("patch_id", "layer").agg(F.min("band").alias("lo"), F.max("band").alias("hi")).where("lo < hi").select(F.col("patch_id").alias("__p"), F.col("layer").alias("__l"))
+    told = F.raise_error(F.concat(F.lit("a label layer has one band: "), F.col("layer"), F.lit(" of "), F.col("patch_id"))).cast("boolean")
+    joined = df.join(bad, F.col("patch_id").eqNullSafe(F.col("__p")) & F.col("layer").eqNullSafe(F.col("__l")), "left")
+    return joined.where(F.when(F.col("__l").isNull(), True).otherwise(told)).select(*df.columns)  # a filter, so that no plan prunes it
 
 
 def to_pixels(df: DataFrame, col: str = "data") -> DataFrame:

@@ -93,3 +93,9 @@ def test_empty_ignored_and_odd_sizes(spark):
     assert got["ignored"]["grounding"]["union_bbox"] is None and got["ignored"]["grounding"]["component_bboxes"] == []
     assert got["one"]["grounding"]["union_bbox"] == [0.0, 0.0, 1.0, 1.0]
     assert got["null"]["counts"] == [1, 0, 0, 0, 0]
+
+
+def test_null_and_short_arrays_have_no_shapes(spark):
+    p = spark.createDataFrame([("a", 1, 2, [0, 1]), ("b", 1, 2, None), ("c", 2, 2, [0]), ("d", None, 2, [0, 0])], "patch_id string, h int, w int, cls array<int>")
+    got = {r["patch_id"]: r["shapes"] for r in with_shapes(p).collect()}
+    assert got["b"] is None and got["c"] is None and got["d"] is None and got["a"][0]["n"] == 1

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from patchloom.functions import geometry as G
 from patchloom.functions import text as X
-from patchloom.operators import annotate, catalog, raster
+from patchloom.operators import annotate, catalog, raster, scene
 from patchloom.plans.pipeline import RegionConfig, index
 from patchloom.sources import patches, records
 from patchloom.streaming.index_stream import dominant_counts, index_stream
@@ -16,6 +16,51 @@ BASE = {"pixel_count": 100, "n_cc": 3, "largest_cc_frac": 0.5, "median_cc_patch_
 DDL = "pixel_count bigint, n_cc int, largest_cc_frac double, median_cc_patch_frac double, p90_cc_patch_frac double, small_cc_area_frac double, small_cc_share double, n_small_cc_patch int, n_large_cc_patch int, centroid_y double, centroid_x double, var_x double, var_y double, elongation double, contact_ratio double"
 
 
+def test_turn_of_transform_and_nulls(spark):
+    rows = [("p", 2, 3, [0, 1, 2, 3, 4, 5], [10.0, 0.0, 100.0, 0.0, -10.0, 900.0]), ("q", 2, 3, None, None)]
+    p = spark.createDataFrame(rows, "patch_id string, h int, w int, code array<int>, transform array<double>")
+    got = {r["patch_id"]: r for r in raster.augment(p).collect()}
+    assert len(got) == 8 and got["p"]["transform"] == rows[0][4] and got["p"]["code"] == rows[0][3]
+    assert got["p_rot90"]["transform"] == [0.0, 10.0, 100.0, 10.0, 0.0, 880.0]
+    assert got["p_rot180"]["transform"] == [-10.0, 0.0, 130.0, 0.0, 10.0, 880.0]
+    assert got["p_rot270"]["transform"] == [0.0, -10.0, 130.0, -10.0, 0.0, 900.0]
+    assert got["q_rot90"]["transform"] is None and got["q_rot90"]["code"] is None
+    assert raster.augment(raster.augment(p, angles=(90,)), angles=(180,)).count() == 6  # turns are not turned again
+
+
+def test_sliding_windows_of_a_wide_scene_cost_little(spark):
+    """Only the windows that hold a pixel are listed, not all of the scene."""
+    px = spark.createDataFrame([(5_000, 9_999), (0, 0)], "r int, c int")
+    got = {(r["r"], r["row"], r["col"]) for r in raster.tile(px, 10_000, 10_000, 2, 1).collect()}
+    assert got == {(5_000, 4_999, 9_998), (5_000, 5_000, 9_998), (0, 0, 0)}
+    assert raster.tile(px, 1, 10_000, 2, 1).count() == 0
+
+
+def test_write_back_of_repeated_answers(spark):
+    index = spark.createDataFrame([(1, None), (2, "old"), (3, "old")], "patch_id int, answer string")
+    answers = spark.createDataFrame([(1, "a", 1), (1, "b", 3), (1, "c", 2), (2, "new", 1)], "patch_id int, answer string, pos int")
+    got = {r["patch_id"]: r["answer"] for r in annotate.write_back(index, answers, "patch_id", "answer", position="pos").collect()}
+    assert got == {1: "b", 2: "new", 3: "old"}
+    with pytest.raises(Exception, match="several answers for 1"):
+        annotate.write_back(index, answers, "patch_id", "answer").collect()
+
+
+def test_layer_nodata_and_counters(spark):
+    px = spark.createDataFrame([(r, c, 1 + r, 0) for r in range(2) for c in range(2)], "r int, c int, B2 int, B8 int")
+    one = spark.createDataFrame([(0, 0, 3), (1, 1, 15)], "r int, c int, value int")
+    known = {"mapbiomas": None, "other": 7.0}
+    own = scene.patches(scene.filled(px, {"mapbiomas": one, "other": one}, known), 2, 2, 2, 2, ("B2", "B8"), ("mapbiomas", "other"), 0.0)
+    b = {(r["layer"], r["band"]): (r["data"], r["nodata"]) for r in scene.blocks(scene.reclassified(own), ("B2", "B8"), ("mapbiomas", "other", scene.RECLASSIFIED), 0.0, known).collect()}
+    assert b["mapbiomas", 1] == ([3, 0, 0, 15], 0.0) and b["other", 1] == ([3, 7, 7, 15], 7.0)
+    assert b[scene.RECLASSIFIED, 1] == ([0, 255, 255, 1], 255.0) and b[scene.IMAGE, 2] == ([0, 0, 0, 0], 0.0)
+    meta = scene.meta(own, "s.tif", "here", 2020, ("B2", "B8")).first()
+    assert (meta["patch_id"], meta["patch_size"], meta["bands"], len(meta)) == ("scene_r0_c0", 2, ["B2", "B8"], 9)
+    df, seen = scene.observed(px, "counters", first_row=F.col("r") == 0, dark=F.col("B8") == 0)
+    assert df.count() == 4 and seen.get == {"first_row": 2, "dark": 4}
+    ids = spark.createDataFrame([("b", "x"), ("a", "x"), ("a", "y")], "patch_id string, layer string")
+    assert [r[0] for r in scene.patch_ids(ids, in_order=True).collect()] == ["a", "b"] and scene.patch_ids(ids, "y").count() == 1
+
+
 @pytest.mark.parametrize(
     ("angle", "want", "h", "w"),
     [(90, [3, 0, 4, 1, 5, 2], 3, 2), (180, [5, 4, 3, 2, 1, 0], 2, 3), (270, [2, 5, 1, 4, 0, 3], 3, 2)],
