@@ -23,6 +23,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,33 +72,39 @@ def conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     return own.select("conv_id", turns.alias("turns")).withColumn("path", F.transform("turns", lambda x: F.unhex(F.substring(F.md5(F.concat_ws("\n", F.length(x["role"]).cast("string"), x["role"], x["text"])), 1, 16))))
 
 
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32)
+
+
 def pack(convs: DataFrame, pack_tokens: int = PACK_TOKENS, encode: Callable[[str], list[int]] | None = None) -> DataFrame:
     """Prefix trees of conversations, PACK_SCHEMA. encode must map concatenated pieces to concatenated tokens."""
-    code = encode or (lambda s: list(map(ord, s)))
+    code = (lambda s: np.asarray(encode(s), np.int32)) if encode else code_points
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, part, serial = None, None, 0
-        tokens: list = []
-        pos: list = []
+        part, serial, size = None, 0, 0
+        tokens: list[np.ndarray] = []
+        pos: list[np.ndarray] = []
         loss: list = []
         nodes: list = []
+        ends: list[int] = []  # of each node, the position after its last
         leaves: list = []
         stack: list = []  # (turn, node) from the root to where the last conversation ended
-
-        def out() -> pa.RecordBatch:
-            row = {"pack_id": [f"{part}-{serial}"], "tokens": [list(tokens)], "position_ids": [list(pos)], "loss": [list(loss)], "nodes": [list(nodes)], "leaves": [list(leaves)]}
-            return pa.RecordBatch.from_pydict(row, schema=schema)
-
         span = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
         node_t = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("ancestors", pa.list_(span))])
         schema = pa.schema([("pack_id", pa.string()), ("tokens", pa.list_(pa.int32())), ("position_ids", pa.list_(pa.int32())), ("loss", pa.list_(span)), ("nodes", pa.list_(node_t)), ("leaves", pa.list_(pa.struct([("conv_id", pa.int64()), ("node", pa.int32())])))])
+
+        def out() -> pa.RecordBatch:
+            whole = lambda parts: pa.ListArray.from_arrays(pa.array([0, size], pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *parts])))
+            rest = [pa.array([x], schema.field(n).type) for n, x in (("loss", loss), ("nodes", nodes), ("leaves", leaves))]
+            return pa.RecordBatch.from_arrays([pa.array([f"{part}-{serial}"]), whole(tokens), whole(pos), *rest], schema=schema)
+
         for b in batches:
             for i in range(b.num_rows):
                 conv, turns, part = b.column(0)[i].as_py(), [(t["role"], t["text"]) for t in b.column(1)[i].as_py()], b.column(2)[i].as_py()
-                if leaves and len(tokens) >= pack_tokens:
+                if leaves and size >= pack_tokens:
                     yield out()
                     serial += 1
-                    tokens, pos, loss, nodes, leaves, stack = [], [], [], [], [], []
+                    tokens, pos, loss, nodes, ends, leaves, stack, size = [], [], [], [], [], [], [], 0
                 shared = 0
                 while shared < min(len(stack), len(turns)) and stack[shared][0] == turns[shared]:
                     shared += 1
@@ -105,16 +112,18 @@ def pack(convs: DataFrame, pack_tokens: int = PACK_TOKENS, encode: Callable[[str
                 for turn in turns[shared:]:
                     text, a, z = render(*turn)
                     pre, mid, post = code(text[:a]), code(text[a:z]), code(text[z:])
-                    start, up = len(tokens), nodes[stack[-1][1]] if stack else None
-                    at = pos[up["stop"] - 1] + 1 if up else 0
-                    tokens += pre + mid + post
-                    pos += range(at, at + len(tokens) - start)
-                    if mid:
+                    start, up = size, nodes[stack[-1][1]] if stack else None
+                    at = ends[stack[-1][1]] if stack else 0
+                    size += len(pre) + len(mid) + len(post)
+                    tokens += [pre, mid, post]
+                    pos.append(np.arange(at, at + size - start, dtype=np.int32))
+                    if len(mid):
                         loss.append({"start": start + len(pre), "stop": start + len(pre) + len(mid)})
                     above = up["ancestors"] + [{"start": up["start"], "stop": up["stop"]}] if up else []
                     if len(above) > 1 and above[-2]["stop"] == above[-1]["start"]:
                         above = above[:-2] + [{"start": above[-2]["start"], "stop": above[-1]["stop"]}]
-                    nodes.append({"start": start, "stop": len(tokens), "parent": stack[-1][1] if stack else -1, "depth": len(stack), "ancestors": above})
+                    nodes.append({"start": start, "stop": size, "parent": stack[-1][1] if stack else -1, "depth": len(stack), "ancestors": above})
+                    ends.append(at + size - start)
                     stack.append((turn, len(nodes) - 1))
                 leaves.append({"conv_id": conv, "node": stack[-1][1] if stack else -1})
         if leaves:
@@ -132,8 +141,8 @@ def read_back(packs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for p in b.to_pylist():
-                text, rows = "".join(map(chr, p["tokens"])), []
+            for p, tokens in zip(b.select(["loss", "nodes", "leaves"]).to_pylist(), b.column("tokens"), strict=True):
+                text, rows = tokens.values.to_numpy().tobytes().decode("utf-32-le", "surrogatepass"), []
                 starts = {x["start"]: x["stop"] for x in p["loss"]}
                 by_start = sorted(starts)
                 for leaf in p["leaves"]:
