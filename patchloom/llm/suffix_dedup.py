@@ -5,26 +5,25 @@ Whether a suffix is repeated for WINDOW bytes is what a suffix array sorted to t
 
 1. Every window has one canonical q-gram, the one of least hash in it (leftmost of equals). Equal
    windows have equal canonical q-grams at equal places, so windows can be compared bucket by bucket
-   of that q-gram. Neighbouring windows with the same one are a run; its bucket is counted over the
-   corpus, by occurrences and by different strings around it.
-2. A bucket with more than HOT different strings (a passage that very many documents share, with
-   their own text around it) is refined: its runs are cut into steps of windows, and a step's bucket
-   is the hash of what all its windows have in common; in a last refinement a step is one window.
-   What is still alone in its bucket has no repeated window.
-3. For the other buckets, the symbols of the windows around each occurrence go to the bucket's
-   group, from each task every string once. What a task itself sees twice is repeated as a whole.
-   Inside a run of groups suffixes are sorted by bucket-pointer refinement: initial buckets of
+   of that q-gram. Neighbouring windows with the same one are a run; a bucket that occurs once in the
+   corpus has no repeated window.
+2. For the other buckets, the symbols of the windows of each run become a row, from each task every
+   string once. What a task itself sees twice is repeated as a whole.
+3. A bucket with more than HOT rows (a passage that very many documents share, with their own text
+   around it) is refined: its rows are cut into steps of windows, and a step's bucket is the hash of
+   what all its windows have in common; in a last refinement a step is one window. What is alone in
+   its new bucket has no repeated window and is dropped before it is shuffled.
+4. Inside a run of buckets suffixes are sorted by bucket-pointer refinement: initial buckets of
    q = WINDOW / 4 symbols, refined by sorting each position on its bucket and the bucket of the
    position q further on, then with those buckets 2q further on. A suffix alone in its bucket is
    final and leaves; after the last step the suffixes that still share a bucket are repeated.
-   A group holds at most HOT strings and one for each part of the input that a task holds.
-4. Spans come back to their documents, which are cut.
+   At most HOT different strings are sorted together, and what fits in GROUP_BYTES.
+5. Spans come back to their documents, which are cut.
 
 find_words() does the same with windows of WORDS words; its symbols are 64-bit hashes of words.
 
-Which buckets occur more than once, and which are hot, reaches the tasks as Bloom filters of checked
-size (16 bits a bucket, FILTER_BITS at most). What the first lets through by mistake is alone in its
-group and drops out there; what the second does is refined like a hot bucket, in every task.
+Which buckets occur more than once reaches the tasks as a Bloom filter of checked size (16 bits a
+bucket, FILTER_BITS at most); what it lets through by mistake is alone in its group and drops out there.
 Bucket identifiers are 64-bit hashes.
 
 Defined cases: null text is empty; texts shorter than a window lose nothing; overlapping
@@ -49,14 +48,17 @@ from .words import WordHasher, buffers
 WINDOW, GRAM = 400, 64
 WORDS, WORD_GRAM = 51, 8
 #: Symbols that are hashed at a time.
-CHUNK = 2 << 20
+CHUNK = 1 << 17
+#: Bytes of strings that are sorted together, unless one bucket has more.
+GROUP_BYTES = 2 << 20
 HOT = 2_000
 #: Into so many steps the windows around a q-gram are cut where a bucket is hot; then into single windows.
 STEPS = 16
+MAX_BROADCAST_BUCKETS = 1_000_000
 FILTER_BITS = 1 << 29
 MAX_BROADCAST_BYTES = 32 << 20
 SPANS = "array<struct<start:long,stop:long>>"
-ROW_SCHEMA = "h long, body binary, many boolean, k1 long, k2 long, start long, stop long"
+ROW_SCHEMA = "h long, body binary, place long, many boolean, k1 long, k2 long, start long, stop long"
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Rows (k1, k2, text) of a batch to rows (k1, k2, symbols).
 Symbols = Callable[[pa.RecordBatch], Iterator[tuple[int, int, np.ndarray]]]
@@ -133,49 +135,26 @@ def pieces(rows: Iterator[tuple[int, int, np.ndarray]], window: int) -> Iterator
 # --- buckets ----------------------------------------------------------------------------------------------------
 
 
-class Runs:
-    """Runs of window starts of a buffer with one bucket: key, first and last start, the q-gram's place, the text's number."""
-
-    def __init__(self, key: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray, text: np.ndarray) -> None:
-        self.key, self.first, self.last, self.place, self.text = key, first, last, place, text
-
-    def where(self, keep: np.ndarray) -> Runs:
-        return Runs(self.key[keep], self.first[keep], self.last[keep], self.place[keep], self.text[keep])
-
-
-def runs(buf: np.ndarray, spans: list, window: int, gram: int) -> Runs:
+def runs(buf: np.ndarray, spans: list, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Runs of window starts with one canonical q-gram: its hash, the first and last start, its place, the
+    text's number."""
     h = gram_hash(buf, gram)
     place = anchors(h, window, gram)
     begin = np.array([s[3] for s in spans])
     end = np.array([s[4] for s in spans])
-    valid = np.zeros(len(place) + 1, np.int64)
+    valid = np.zeros(len(place) + 1, np.int32)
     valid[begin] += 1
     np.subtract.at(valid, np.minimum(end - window + 1, len(place)), 1)
-    ok = np.flatnonzero(np.cumsum(valid[:-1]) > 0)
-    starts = np.zeros(len(buf) + 1, bool)
-    starts[begin] = True
-    new = np.ones(len(ok), bool)
-    new[1:] = (place[ok][1:] != place[ok][:-1]) | (ok[1:] != ok[:-1] + 1) | starts[ok[1:]]
-    cut = np.flatnonzero(new)
-    first, last = ok[cut], ok[np.append(cut[1:] - 1, len(ok) - 1)]
-    return Runs(h[place[first]].view(np.int64), first, last, place[first], np.searchsorted(begin, first, side="right") - 1)
-
-
-def refined(r: Runs, buf: np.ndarray, window: int, step: int) -> Runs:
-    """Runs cut into steps of windows, by how far before the q-gram they start; a step's key is the hash of
-    the run's key, the step, and the symbols that all windows of the whole step hold."""
-    if not len(r.key):
-        return r
-    low, high = (r.place - r.last) // step, (r.place - r.first) // step
-    n = high - low + 1
-    own = np.repeat(np.arange(len(n)), n)
-    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[own]
-    place = r.place[own]
-    first = np.maximum(r.first[own], place - (k + 1) * step + 1)
-    last = np.minimum(r.last[own], place - k * step)
-    core = gram_hash(buf, window - step + 1)[place - k * step]
-    key = (core * _A + r.key[own].view(np.uint64) * _B + k.astype(np.uint64)) * _A
-    return Runs((key ^ (key >> np.uint64(31))).view(np.int64), first, last, place, r.text[own])
+    valid = np.cumsum(valid[:-1]) > 0
+    new = np.ones(len(place) + 1, bool)
+    new[1:-1] = place[1:] != place[:-1]
+    new[begin[begin < len(place)]] = True
+    edge = valid.copy()  # a run begins where its first window is valid, and ends before the next edge of any kind
+    edge[1:] &= new[1:-1] | ~valid[:-1]
+    first = np.flatnonzero(edge)
+    stop = np.flatnonzero(new | np.append(~valid, True))
+    last = stop[np.searchsorted(stop, first, side="right")] - 1
+    return h[place[first]].view(np.int64), first, last, place[first], np.searchsorted(begin, first, side="right") - 1
 
 
 def inside(key: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -183,34 +162,15 @@ def inside(key: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bits[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 == 1
 
 
-def at_level(buf: np.ndarray, spans: list, window: int, gram: int, hot: list[np.ndarray]) -> Runs:
-    """Of the runs, those in hot buckets, refined once for each filter."""
-    r = runs(buf, spans, window, gram)
-    for bits, step in zip(hot, (-(-window // STEPS), 1), strict=False):
-        r = refined(r.where(inside(r.key, bits)), buf, window, step)
-    return r
-
-
-def counted(texts: DataFrame, symbols: Symbols, window: int, gram: int, hot: list[np.ndarray]) -> DataFrame:
-    """key, n (occurrences), d (different strings, of each buffer) of the buckets that occur twice or more."""
+def counted(texts: DataFrame, symbols: Symbols, window: int, gram: int) -> DataFrame:
+    """key of the buckets that occur twice or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for buf, spans in pieces((row for b in batches for row in symbols(b)), window):
-            r = at_level(buf, spans, window, gram, hot)
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(gram_hash(buf, 4) if len(buf) >= 4 else np.zeros(0, np.uint64))])
-            body = total[np.maximum(r.first, r.last + window - 3)] - total[r.first]  # enough to tell strings apart
-            order = np.lexsort((body, r.key))
-            k, b = r.key[order], body[order]
-            new = np.ones(len(k), bool)
-            new[1:] = k[1:] != k[:-1]
-            other = new.copy()
-            other[1:] |= b[1:] != b[:-1]
-            at = np.flatnonzero(new)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(k[at]), pa.array(np.diff(np.append(at, len(k)))), pa.array(np.add.reduceat(other.astype(np.int64), at))], ["key", "n", "d"])
-
-    rows = texts.mapInArrow(run, "key long, n long, d long")
-    return rows.groupBy("key").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).where("n > 1")
+            k, n = np.unique(runs(buf, spans, window, gram)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["key", "n"])
+
+    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
 
 
 def bloom(rows: DataFrame, n: int) -> np.ndarray:
@@ -224,50 +184,99 @@ def bloom(rows: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def neighbourhoods(texts: DataFrame, symbols: Symbols, window: int, gram: int, twice: list[np.ndarray], hot: list[np.ndarray]) -> DataFrame:
-    """ROW_SCHEMA: the symbols of all windows of an occurrence and where it stands. Where a task has a string
-    twice, its spans come as rows without h, and the string comes without a place."""
+class Held:
+    """Rows of ROW_SCHEMA that a task holds: every string of a bucket once. Of one that comes twice, the
+    spans become rows without h, and the string stays without a place in a text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, bytes], tuple | None] = {}
-        spare: list[tuple] = []
-        size = 0
-        schema = pa.schema([("h", pa.int64()), ("body", pa.binary()), ("many", pa.bool_()), ("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
+    schema = pa.schema([("h", pa.int64()), ("body", pa.binary()), ("place", pa.int64()), ("many", pa.bool_()), ("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
+
+    def __init__(self) -> None:
+        self.strings: dict[tuple[int, bytes], tuple] = {}
+        self.spans: list[tuple] = []
+        self.size = 0
+
+    def add(self, h: int, body: bytes, place: int, at: tuple | None) -> None:
+        """at: k1, k2, start, stop; None for a string that came more than once."""
+        key = (h, body)
+        own = self.strings.get(key)
+        if own is None:
+            self.strings[key] = (place, at)
+            self.size += len(body) + 300
+            return
+        for x in (at, own[1]):
+            if x is not None:
+                self.spans.append(x)
+                self.size += 150
+        self.strings[key] = (place, None)
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        rows = [(h, body, place, at is None, *(at or (None,) * 4)) for (h, body), (place, at) in self.strings.items()]
+        rows += [(None, None, None, None, *at) for at in self.spans]
+        for i in range(0, len(rows), 4000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 4000], strict=True), self.schema, strict=True)], schema=self.schema)
 
-        def out() -> Iterator[pa.RecordBatch]:
-            rows = [(h, body, at is None, *(at or (None,) * 4)) for (h, body), at in held.items()] + [(None, None, None, *at) for at in spare]
-            for i in range(0, len(rows), 4000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 4000], strict=True), schema, strict=True)], schema=schema)
 
+def neighbourhoods(texts: DataFrame, symbols: Symbols, window: int, gram: int, may: np.ndarray) -> DataFrame:
+    """ROW_SCHEMA: the symbols of all windows of a run, the q-gram's place in them, and where they stand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Held()
         for buf, spans in pieces((row for b in batches for row in symbols(b)), window):
-            r = runs(buf, spans, window, gram)
-            for level, may in enumerate(twice):
-                want = inside(r.key, may)
-                if level < len(hot):
-                    burns = inside(r.key, hot[level])
-                    want &= ~burns
-                for h, first, last, text in zip(*(x[want].tolist() for x in (r.key, r.first, r.last, r.text)), strict=True):
-                    k1, k2, a, begin, _ = spans[text]
-                    key, at = (h, buf[first : last + window].tobytes()), (k1, k2, first - begin + a, last - begin + a + window)
-                    if key not in held:
-                        held[key] = at
-                        size += len(key[1]) + 300
-                        continue
-                    size += 150
-                    spare.append(at)
-                    if held[key] is not None:
-                        spare.append(held[key])
-                        held[key] = None
-                if level < len(hot):
-                    r = refined(r.where(burns), buf, window, (-(-window // STEPS), 1)[level])
-            if size > 24 << 20:
-                yield from out()
-                held, spare, size = {}, [], 0
-        yield from out()
+            found = runs(buf, spans, window, gram)
+            want = inside(found[0], may)
+            for h, first, last, place, text in zip(*(x[want].tolist() for x in found), strict=True):
+                k1, k2, a, begin, _ = spans[text]
+                start = first - begin + a
+                held.add(h, buf[first : last + window].tobytes(), place - first, (k1, k2, start, start + last - first + window))
+            if held.size > 24 << 20:
+                yield from held.out()
+                held = Held()
+        yield from held.out()
 
     return texts.mapInArrow(run, ROW_SCHEMA)
 
 
+def steps_of(h: int, body: bytes, place: int, window: int, step: int, width: int) -> Iterator[tuple[int, int, int]]:
+    """The windows of a row cut into steps by how far before the q-gram they start: new key, first and last
+    window. The key is the hash of the old one, the step, and the symbols that all windows of the whole
+    step hold. width: bytes of a symbol."""
+    last = len(body) // width - window
+    for k in range((place - last) // step, place // step + 1):
+        at = place - k * step
+        core = hashlib.blake2b(body[(at) * width : (at + window - step + 1) * width], digest_size=8, key=h.to_bytes(8, "little", signed=True) + k.to_bytes(8, "little"))
+        yield int.from_bytes(core.digest(), "little", signed=True), max(0, at - step + 1), min(last, at)
+
+
+def refined(rows: DataFrame, window: int, step: int, width: int) -> DataFrame:
+    """ROW_SCHEMA: rows cut into steps, those whose new bucket has another row or string."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(x[0], 1 + many) for h, body, place, many in zip(*(b.column(c).to_pylist() for c in ("h", "body", "place", "many")), strict=True) for x in steps_of(h, body, place, window, step, width)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["key", "n"])
+
+    twice = materialise(rows.mapInArrow(keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"))
+    may = bloom(twice, twice.count())
+    discard(twice)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Held()
+        for b in batches:
+            for h, body, place, many, *at in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                new = list(steps_of(h, body, place, window, step, width))
+                good = inside(np.array([x[0] for x in new], np.int64), may)
+                for (key, first, last), ok in zip(new, good, strict=True):
+                    if ok:
+                        own = None if many else (at[0], at[1], at[2] + first, at[2] + last + window)
+                        held.add(key, body[first * width : (last + window) * width], place - first, own)
+            if held.size > 24 << 20:
+                yield from held.out()
+                held = Held()
+        yield from held.out()
+
+    return rows.mapInArrow(cut, ROW_SCHEMA)
+
+
 # --- refinement -------------------------------------------------------------------------------------------------
 
 
@@ -329,8 +338,8 @@ def repeated_spans(rows: DataFrame, window: int, symbol: type) -> DataFrame:
 
         last = None
         for b in batches:
-            for h, body, many, *at in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if h != last and size > CHUNK:
+            for h, body, _, many, *at in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if h != last and size > GROUP_BYTES:
                     yield from out()
                     groups, size = {}, 0
                 last = h
@@ -350,22 +359,24 @@ def repeated_spans(rows: DataFrame, window: int, symbol: type) -> DataFrame:
 
 def find_in(texts: DataFrame, symbols: Symbols, symbol: type, window: int, gram: int) -> DataFrame:
     """k1, k2, spans (of symbols) of k1, k2, text."""
-    twice, hot = [], []
-    for level in range(3):
-        buckets = materialise(counted(texts, symbols, window, gram, hot))
-        twice.append(bloom(buckets, buckets.count()))
-        burning = buckets.where(F.col("d") > HOT)
-        n = burning.count()
-        if n and level < 2:
-            hot.append(bloom(burning, n))
-        discard(buckets)
-        if len(hot) <= level:
+    buckets = materialise(counted(texts, symbols, window, gram))
+    rows = materialise(neighbourhoods(texts, symbols, window, gram, bloom(buckets, buckets.count())))
+    discard(buckets)
+    spans, groups = rows.where("h is null").select("k1", "k2", "start", "stop"), None
+    for step in (-(-window // STEPS), 1, 0):
+        rows = rows.where("h is not null")
+        hot = materialise(rows.groupBy("h").count().where(F.col("count") > HOT).select("h"))
+        n = hot.count() if step else 0
+        if n and n <= MAX_BROADCAST_BUCKETS:
+            hot = F.broadcast(hot)
+        cold = rows.join(hot, "h", "left_anti") if n else rows
+        groups = cold if groups is None else groups.union(cold)
+        if not n:
             break
-    rows = materialise(neighbourhoods(texts, symbols, window, gram, twice, hot))
-    groups = rows.where("h is not null")
-    spans = repeated_spans(groups.repartition("h").sortWithinPartitions("h"), window, symbol)
-    spans = spans.union(rows.where("h is null").select("k1", "k2", "start", "stop"))
-    return materialise(spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans")))
+        rows = materialise(refined(rows.join(hot, "h", "left_semi"), window, step, np.dtype(symbol).itemsize))
+        spans = spans.union(rows.where("h is null").select("k1", "k2", "start", "stop"))
+    found = repeated_spans(groups.repartition("h").sortWithinPartitions("h"), window, symbol)
+    return materialise(found.union(spans).groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans")))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
