@@ -73,6 +73,48 @@ def test_decisions_of_documents_are_apart():
         seen[key, bit[k]] += 1
 
 
+def brute_mix(model, code, seqs):
+    """log10 of sequences of classes, decision by decision, from the counts and weights of a model."""
+    out = []
+    for seq in seqs:
+        total, seen = 0.0, {}
+        slots, place, bit, _ = lm_score.class_decisions(code, [seq])
+        for k in range(len(bit)):
+            x = []
+            for own, (n, n1) in zip(slots, model.counts, strict=True):
+                x.append(math.log((n1[own[k]] + 0.3) / (n[own[k]] - n1[own[k]] + 0.3)))
+            sure = sum(model.counts[model.gate_by][0][slots[model.gate_by][k]] > c for c in lm_score.CONFIDENCE)
+            ones, zeros = seen.get((place[k], 1), 0), seen.get((place[k], 0), 0)
+            x.append(math.log((ones + 0.4) / (zeros + 0.4)))
+            z = min(11, max(-11, sum(w[place[k] * 4 + sure] * v for w, v in zip(model.w, x, strict=True))))
+            p = 1 / (1 + math.exp(-z))
+            c = place[k] * lm_score.BUCKETS + min(lm_score.BUCKETS - 1, max(0, int(z * 2 + lm_score.BUCKETS / 2)))
+            p = (p + (model.hits[1][c] + 8 * p) / (model.hits[0][c] + 8)) / 2
+            total += math.log10(min(1 - 1e-6, max(1e-6, p if bit[k] else 1 - p)))
+            seen[place[k], bit[k]] = seen.get((place[k], bit[k]), 0) + 1
+        out.append(total)
+    return out
+
+
+def test_mixed_scores_equal_brute_force_and_sum_to_one():
+    r = np.random.default_rng(4)
+    code = lm_score.Code(r.integers(1, 100, lm_score.CLASSES).astype(float))
+    n1, n0 = ([r.integers(0, 9, size).astype(np.float32) for size in lm_score.CLASS_TABLES] for _ in range(2))
+    model = lm_score.Mixer([(a + b, a) for a, b in zip(n1, n0, strict=True)], True, 3)
+    model.w += r.normal(0, 0.1, model.w.shape).astype(np.float32)
+    model.hits[0] = r.integers(10, 90, model.hits.shape[1])
+    model.hits[1] = np.floor(model.hits[0] * r.random(model.hits.shape[1]))
+    seqs = [r.integers(0, lm_score.CLASSES, n).astype(np.uint8) for n in (1, 7, 30)]
+    want = brute_mix(model, code, seqs)
+    model.frozen()
+    got = model.log10(lm_score.class_decisions(code, seqs), len(seqs))
+    assert np.allclose(got, want, rtol=1e-3, atol=1e-3)
+    prefix = seqs[1]
+    nexts = [np.append(prefix, k).astype(np.uint8) for k in range(lm_score.CLASSES)]
+    more = model.log10(lm_score.class_decisions(code, nexts), len(nexts)) - got[1]
+    assert math.isclose((10**more).sum(), 1, rel_tol=1e-3)
+
+
 # --- language identification ---
 
 
