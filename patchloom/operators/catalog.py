@@ -106,5 +106,11 @@ def first_label(patches: DataFrame, meta: DataFrame, five: DataFrame, plain: Dat
     return out.withColumn("label", F.coalesce("a", "b", "d")).drop("a", "b", "d", "__a", "__b", "__d")
 
 
+def with_record(index: DataFrame, docs: DataFrame, key: str = "patch_id", name: str = "meta") -> DataFrame:
+    """index with each record's document as a struct, null where there is none; of a repeated key the largest."""
+    own = docs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.max(F.struct(*(c for c in docs.columns if c != key))).alias(name))
+    return index.join(own, F.col(key) == F.col("__k"), "left").drop("__k")
+
+
 def rank_in(group: str, *order: Column) -> Column:
     return F.row_number().over(Window.partitionBy(group).orderBy(*order))

@@ -1,6 +1,7 @@
 """Turns, phrases, captions, splits and records on small inputs."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from patchloom.functions import geometry as G
 from patchloom.functions import text as X
 from patchloom.operators import annotate, catalog, raster, scene
 from patchloom.plans.pipeline import RegionConfig, index
-from patchloom.sources import patches, records
+from patchloom.sources import patches, paths, records
 from patchloom.streaming.index_stream import dominant_counts, index_stream
 
 BASE = {"pixel_count": 100, "n_cc": 3, "largest_cc_frac": 0.5, "median_cc_patch_frac": 0.1, "p90_cc_patch_frac": 0.2, "small_cc_area_frac": 0.0, "small_cc_share": 0.0, "n_small_cc_patch": 0, "n_large_cc_patch": 1, "centroid_y": 0.5, "centroid_x": 0.5, "var_x": 0.1, "var_y": 0.1, "elongation": 2.0, "contact_ratio": 0.5}
@@ -228,3 +229,45 @@ def test_index_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.table("dominant").collect()] == [("x", "water", 2)]
+
+
+def test_documents_splits_and_their_records(spark, tmp_path):
+    for name, frac in (("a", 0.5), ("b", 0.9)):
+        (tmp_path / "root" / name).mkdir(parents=True)
+        (tmp_path / "root" / name / "meta.json").write_text(json.dumps({"patch_id": name, "row": 1, "col": 2, "valid_fraction": frac}, indent=2))
+    docs = records.read_documents(spark, str(tmp_path / "root"))
+    got = {r["patch_id"]: r for r in docs.collect()}
+    assert got["b"]["valid_fraction"] == 0.9 and got["a"]["file"].endswith("a/meta.json") and got["a"]["region"] is None
+    index_ = spark.createDataFrame([("a",), ("c",)], "patch_id string")
+    joined = {r["patch_id"]: r["meta"] for r in catalog.with_record(index_, docs).collect()}
+    assert joined["a"]["row"] == 1 and joined["c"] is None
+    (tmp_path / "splits").mkdir()
+    (tmp_path / "splits" / "train.txt").write_text("a\n \nb\n")
+    (tmp_path / "splits" / "test.txt").write_text("b\n")
+    (tmp_path / "splits" / "notes.txt").write_text("c\n")
+    lines = records.read_splits(spark, str(tmp_path / "splits"))
+    assert {(r["patch_id"], r["split"]) for r in catalog.splits(lines).collect()} == {("a", "train"), ("b", "test")}
+
+
+def test_command_line(spark, tmp_path):
+    from patchloom.__main__ import main
+
+    b = spark.createDataFrame([(f"p{i}", "mapbiomas", 1, 2, 2, [3, 3, 15, 33], None, None, "x", f"r{i}", 2020) for i in range(3)], patches.BLOCK_SCHEMA)
+    patches.write_blocks(b, str(tmp_path / "b"))
+    main(["--blocks", str(tmp_path / "b"), "--out", str(tmp_path / "out"), "--regions", "r0, r2", "--augment"])
+    got = records.read_index(spark, str(tmp_path / "out")).collect()
+    assert {r["region"] for r in got} == {"r0", "r2"} and len(got) == 8
+    assert {r["image_path"] for r in got if r["patch_id"] == "p0_rot90"} == {"patches/p0_rot90/s2_rgbnir.tif"}
+    for wrong in (["--region", "r0", "--regions", "r1"], ["--region", "nowhere"]):
+        with pytest.raises(SystemExit):
+            main(["--blocks", str(tmp_path / "b"), "--out", str(tmp_path / "no"), *wrong])
+
+
+def test_project_root(tmp_path):
+    deep = tmp_path / "a" / "b" / "c"
+    deep.mkdir(parents=True)
+    (tmp_path / "a" / "pyproject.toml").write_text("")
+    (tmp_path / "a" / "here.txt").write_text("")
+    assert paths.find_root(deep) == (tmp_path / "a").resolve()
+    assert paths.resolve("here.txt", deep, tmp_path / "a") == tmp_path / "a" / "here.txt"
+    assert paths.resolve("/x/y", deep, tmp_path) == Path("/x/y") and paths.resolve("c", deep.parent, tmp_path) == deep
