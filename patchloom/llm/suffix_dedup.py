@@ -17,7 +17,8 @@ Whether a suffix is repeated for WINDOW bytes is what a suffix array sorted to t
    q = WINDOW / 4 symbols, refined by sorting each position on its bucket and the bucket of the
    position q further on, then with those buckets 2q further on. A suffix alone in its bucket is
    final and leaves; after the last step the suffixes that still share a bucket are repeated.
-   At most HOT different strings are sorted together, and what fits in GROUP_BYTES.
+   A single bucket of more than GROUP_BYTES, of HOT rows at most, is taken to that depth at once:
+   its bucket identifiers are the hashes of whole windows.
 5. Spans come back to their documents, which are cut.
 
 find_words() does the same with windows of WORDS words; its symbols are 64-bit hashes of words.
@@ -51,7 +52,7 @@ WORDS, WORD_GRAM = 51, 8
 CHUNK = 1 << 17
 #: Bytes of strings that are sorted together, unless one bucket has more.
 GROUP_BYTES = 2 << 20
-HOT = 2_000
+HOT = 50_000
 #: Into so many steps the windows around a q-gram are cut where a bucket is hot; then into single windows.
 STEPS = 16
 MAX_BROADCAST_BUCKETS = 1_000_000
@@ -311,6 +312,16 @@ def refine(bodies: list[np.ndarray], many: np.ndarray, window: int) -> list[np.n
     return [np.ones(len(x) - window + 1, bool) if m else bucket[s : s + len(x) - window + 1] >= 0 for x, s, m in zip(bodies, starts, many, strict=True)]
 
 
+def at_full_depth(bodies: list[np.ndarray], window: int) -> list[np.ndarray]:
+    """For each body, which of its windows occur twice, by their hashes."""
+    names = [gram_hash(b, window) for b in bodies]
+    every = np.sort(np.concatenate(names))
+    twice = every[1:][every[1:] == every[:-1]]
+    if not len(twice):
+        return [np.zeros(len(x), bool) for x in names]
+    return [twice[np.minimum(np.searchsorted(twice, x), len(twice) - 1)] == x for x in names]
+
+
 def repeated_spans(rows: DataFrame, window: int, symbol: type) -> DataFrame:
     """k1, k2, start, stop: spans of the documents that repeated windows cover."""
 
@@ -321,7 +332,16 @@ def repeated_spans(rows: DataFrame, window: int, symbol: type) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             found: list[tuple] = []
             bodies, many, places = [], [], []
+
+            def put(at: list[tuple], hit: np.ndarray) -> None:
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+                found.extend((k1, k2, start + int(a), start + int(z) - 1 + window) for k1, k2, start, _ in at for a, z in zip(edge[::2], edge[1::2], strict=True))
+
             for g in groups.values():
+                if len(g) > 1 and sum(map(len, g)) > GROUP_BYTES:
+                    for (whole, at), hit in zip(g.values(), at_full_depth([np.frombuffer(x, symbol) for x in g], window), strict=True):
+                        put(at, hit | whole)
+                    continue
                 for body, (whole, at) in g.items():
                     if len(g) > 1:
                         bodies.append(np.frombuffer(body, symbol))
@@ -331,8 +351,7 @@ def repeated_spans(rows: DataFrame, window: int, symbol: type) -> DataFrame:
                         found += at
             if bodies:
                 for at, hit in zip(places, refine(bodies, np.array(many), window), strict=True):
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-                    found += [(k1, k2, start + int(a), start + int(z) - 1 + window) for k1, k2, start, _ in at for a, z in zip(edge[::2], edge[1::2], strict=True)]
+                    put(at, hit)
             for i in range(0, len(found), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found[i : i + 50_000], strict=True)], ["k1", "k2", "start", "stop"])
 

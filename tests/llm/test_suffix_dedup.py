@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -51,10 +52,20 @@ def test_brute_force(spark, seed, window, gram):
     assert [got[i] for i in range(len(texts))] == brute(texts, window)
 
 
-@pytest.mark.parametrize("hot", [1, 3])
-def test_hot_buckets_are_refined(spark, monkeypatch, hot):
-    """Nearly all buckets are hot here, or those of the passage that many different texts share."""
+def test_windows_of_a_large_bucket_at_full_depth():
+    r = random.Random(2)
+    bodies = [np.frombuffer(bytes(r.choice(b"ab") for _ in range(r.randint(9, 40))), np.uint8) for _ in range(60)]
+    n = Counter(b[i : i + 9].tobytes() for b in bodies for i in range(len(b) - 8))
+    want = [[n[b[i : i + 9].tobytes()] > 1 for i in range(len(b) - 8)] for b in bodies]
+    for how in (S.at_full_depth(bodies, 9), S.refine(bodies, np.zeros(60, bool), 9)):
+        assert [x.tolist() for x in how] == want
+
+
+@pytest.mark.parametrize(("hot", "size"), [(1, S.GROUP_BYTES), (3, S.GROUP_BYTES), (3, 200), (S.HOT, 200)])
+def test_hot_buckets_are_refined(spark, monkeypatch, hot, size):
+    """Nearly all buckets are hot or large here, or those of the passage that many different texts share."""
     monkeypatch.setattr(S, "HOT", hot)
+    monkeypatch.setattr(S, "GROUP_BYTES", size)
     r = random.Random(6)
     texts = corpus(7) + [f"{r.random()} {'shared ' * 3}{'passage of some length, ' * 3}{r.random()}" for _ in range(12)]
     docs = frame(spark, [(i, t, 1, "") for i, t in enumerate(texts)], DOCS)
