@@ -44,13 +44,12 @@ def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
 
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of materialise() that nothing reads any more, and lets Spark drop the shuffles
-    behind them."""
+    that no plan can need."""
+    ctx = SparkSession.active().sparkContext
     for t in tables:
-        ctx = t.sparkSession.sparkContext
         path = ctx._jvm.org.apache.hadoop.fs.Path(t._written)
         path.getFileSystem(ctx._jsc.hadoopConfiguration()).delete(path, True)
-    if tables:
-        ctx._jvm.System.gc()
+    ctx._jvm.System.gc()
 
 
 def row_key(id_col: str, text_col: str) -> list[Column]:
