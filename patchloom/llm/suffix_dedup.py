@@ -57,7 +57,6 @@ HOT = 50_000
 STEPS = 16
 MAX_BROADCAST_BUCKETS = 1_000_000
 FILTER_BITS = 1 << 29
-MAX_BROADCAST_BYTES = 32 << 20
 SPANS = "array<struct<start:long,stop:long>>"
 ROW_SCHEMA = "h long, body binary, place long, many boolean, k1 long, k2 long, start long, stop long"
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -419,17 +418,11 @@ def find_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, kind)], ["k1", "k2", "spans"])
 
-    found = few(find_in(texts, word_symbols, np.uint64, words, gram))
+    found = find_in(texts, word_symbols, np.uint64, words, gram)
     hit = texts.join(found, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", "text", "spans")
     return hit.mapInArrow(run, "k1 long, k2 long, spans array<struct<start:long,stop:long>>")
 
 
-def few(found: DataFrame) -> DataFrame:
-    """found, to be broadcast if its spans are few."""
-    rows, spans = found.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
-    return F.broadcast(found) if 40 * rows + 40 * spans <= MAX_BROADCAST_BYTES else found
-
-
 def either(*found: DataFrame) -> DataFrame:
     """What any of the finds removes."""
     rows = found[0]
@@ -471,7 +464,7 @@ def report(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), *b.columns[3:]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *also])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(id_col, text_col), F.col(text_col).alias("text")).join(few(found), ["k1", "k2"], "left")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(id_col, text_col), F.col(text_col).alias("text")).join(found, ["k1", "k2"], "left")
     rows = rows.select("doc_id", "text", "spans", *(F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c) for c in also))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + "".join(f", {c} long" for c in also))
 
@@ -487,7 +480,7 @@ def cut(docs: DataFrame, found: DataFrame) -> DataFrame:
         return pd.Series([keep_bytes((t or "").encode("utf-8", "surrogatepass"), merge(s)).decode("utf-8", "ignore") if s is not None else t for t, s in zip(texts, spans, strict=True)])
 
     k1, k2 = row_key("doc_id", "text")
-    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), k1, k2).join(few(found), ["k1", "k2"], "left")
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), k1, k2).join(found, ["k1", "k2"], "left")
     held = held.withColumn("shorter", shorter("row.text", "spans"))
     cols = {c: F.col("row").getField(c) for c in docs.columns} | {"text": F.col("shorter")}
     if "n_chars" in cols:
