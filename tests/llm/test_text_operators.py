@@ -115,6 +115,39 @@ def test_mixed_scores_equal_brute_force_and_sum_to_one():
     assert math.isclose((10**more).sum(), 1, rel_tol=1e-3)
 
 
+def test_left_out_decisions_equal_brute_force():
+    """A decision among the counts sees them without itself, at every slot."""
+    r = np.random.default_rng(7)
+    code = lm_score.Code(r.integers(1, 100, lm_score.CLASSES).astype(float))
+    seqs = [r.integers(0, 9, n).astype(np.uint8) for n in (1, 40, 300)]
+    slots, place, bit, group = lm_score.class_decisions(code, seqs)
+    counts = [(np.bincount(s, minlength=z).astype(np.float32), np.bincount(s, bit, z).astype(np.float32)) for s, z in zip(slots, lm_score.CLASS_TABLES, strict=True)]
+    model = lm_score.Mixer(counts, True, 3)
+    x, gate = model.evidence(slots, place, bit, group)
+    for s, (n, n1), own in zip(slots, counts, x, strict=False):
+        others, ones = n[s] - 1, n1[s] - bit
+        assert np.allclose(own, np.log((ones + 0.3) / (others - ones + 0.3)), atol=1e-5)
+    sure = np.searchsorted(lm_score.CONFIDENCE, counts[3][0][slots[3]] - 1)
+    assert (gate == place * 4 + sure).all()
+
+
+@pytest.mark.parametrize("kind", ["classes", "words"])
+def test_lm_learns_from_all_that_training_has(spark, monkeypatch, kind):
+    """What the refining table counts are all decisions of all training documents, or of all words met once."""
+    got, plain = {}, lm_score.learned
+
+    def learned(model, *args):
+        own = plain(model, *args)
+        got["classes" if own.local else "words"] = own.counts[0], own.hits
+        return own
+
+    monkeypatch.setattr(lm_score, "learned", learned)
+    docs = [(i, " ".join(f"w{(i * j) % 50} o{i}x{j}" for j in range(1, 20)), "en", 0.0) for i in range(60)]
+    lm_score.score(frame(spark, docs, DOCS)).collect()
+    (n, n1), hits = got[kind]  # the first table has every decision once
+    assert hits[0].sum() == n.sum() > 0 and hits[1].sum() == n1.sum()
+
+
 # --- language identification ---
 
 
