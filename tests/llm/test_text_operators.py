@@ -3,9 +3,11 @@
 import math
 import random
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
+from itertools import count
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from patchloom.llm import langid, lm_score, quality, toxicity
@@ -148,6 +150,68 @@ def test_lm_learns_from_all_that_training_has(spark, monkeypatch, kind):
     assert hits[0].sum() == n.sum() > 0 and hits[1].sum() == n1.sum()
 
 
+def test_decisions_that_follow_one_another_share_a_line_of_slots():
+    """Four decisions of a path lie in one line of 16 slots of a context; no two places of a context share a slot."""
+    code = lm_score.Code(np.arange(1, lm_score.CLASSES + 1, dtype=float) ** 3)
+    hashed = [k for k, size in enumerate(lm_score.CLASS_TABLES) if size == lm_score.SLOTS]
+    met = {}
+    for c in range(lm_score.CLASSES):
+        slots, place, _, _ = lm_score.class_decisions(code, [np.array([5, 6, 7, c], np.uint8)])
+        for k in hashed:
+            own = slots[k][-code.depth[c] :]
+            assert all(len(set(own[a : a + 4] >> 4)) == 1 for a in range(0, len(own), 4))
+            met.update({(k, int(s)): met.get((k, int(s)), set()) | {int(p)} for s, p in zip(own, place[-code.depth[c] :], strict=True)})
+    assert len(met) == len(hashed) * (lm_score.CLASSES - 1) and all(len(p) == 1 for p in met.values())
+    slots, place, _, _ = lm_score.spell_decisions([bytes([b]) for b in range(256)])
+    for own in slots[1:]:  # the first byte of each word has the same contexts
+        own, at = own.reshape(256, 2, 8)[:, 0], place.reshape(256, 2, 8)[:, 0]
+        assert len({*zip(own.ravel().tolist(), at.ravel().tolist(), strict=True)}) == len(set(own.ravel().tolist())) == 255
+        assert (own[:, :4] >> 4 == own[:, :1] >> 4).all() and (own[:, 4:] >> 4 == own[:, 4:5] >> 4).all()
+
+
+def test_evidence_of_many_decisions_equals_brute_force():
+    """More decisions than are looked up at a time."""
+    r = np.random.default_rng(3)
+    code = lm_score.Code(r.integers(1, 100, lm_score.CLASSES).astype(float))
+    slots, place, bit, group = lm_score.class_decisions(code, [r.integers(0, lm_score.CLASSES, n).astype(np.uint8) for n in (900, 2500)])
+    assert len(bit) > 2 * lm_score.STEP
+    n1, n0 = ([r.integers(1, 90, size).astype(np.float32) for size in lm_score.CLASS_TABLES] for _ in range(2))
+    n, own1 = lm_score.so_far(place, bit, group)
+    for frozen in (False, True):
+        model = lm_score.Mixer([(a + b, a) for a, b in zip(n1, n0, strict=True)], True, 3)
+        x, gate = (model.frozen() if frozen else model).evidence(slots, place, bit, group)
+        for k, s in enumerate(slots):
+            ones, zeros = n1[k][s] - (0 if frozen else bit), n0[k][s] - (0 if frozen else 1 - bit)
+            assert np.allclose(x[k], np.log((ones + 0.3) / (zeros + 0.3)), atol=1e-5)
+        assert np.allclose(x[-1], np.log((own1 + 0.4) / (n - own1 + 0.4)), atol=1e-5)
+        assert (gate == place * 4 + np.searchsorted(lm_score.CONFIDENCE, (n0[3] + n1[3])[slots[3]] - (not frozen))).all()
+        z = np.clip((model.w[:, gate] * x).sum(0), -11, 11)
+        assert np.allclose(model.mixed(x, gate), z, atol=1e-4)
+
+
+def test_numbered_words_equal_split():
+    texts = ["  A b\x0b\tA ", "", " ", "\u00c9 \u00e9 x\x1cy \x85 z\u00a0b", "b", "\r\n"]
+    number = defaultdict(count().__next__)
+    for a, z in ((0, 2), (2, 3), (3, 6)):
+        ids, ends = lm_score.numbered(pa.array(texts)[a:z], number)
+        words = list(number)
+        got = [[words[k] for k in ids[s:e]] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
+        assert got == [t.encode().lower().split() for t in texts[a:z]]
+    assert list(number.values()) == list(range(len(number)))
+
+
+def test_lm_contract_holds_over_many_blocks(spark, monkeypatch):
+    docs = [(i, None if i % 9 == 0 else " ".join(f"W{(i * j) % 13}" for j in range(i % 7)) + " " * (i % 3), "en", 0.0) for i in range(80)]
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "train_tokens"]
+    want = lm_score.score(frame(spark, docs, DOCS)).select(columns).orderBy("doc_id").collect()
+    monkeypatch.setattr(lm_score, "PIECE", 40)
+    monkeypatch.setattr(lm_score, "BLOCK_TOKENS", 25)
+    blocks = lm_score.number_words(frame(spark, docs, DOCS).coalesce(1), "doc_id", "text")
+    assert blocks.select("block").distinct().count() > 3
+    got = lm_score.score(frame(spark, docs, DOCS)).select(columns).orderBy("doc_id").collect()
+    assert all(a[:4] == b[:4] and a[5] == b[5] and math.isclose(a[4], b[4], rel_tol=1e-9) for a, b in zip(want, got, strict=True))
+
+
 # --- language identification ---
 
 
